@@ -29,7 +29,7 @@ from nearfield.llm.common import table
 
 BLANK = "▁"
 #: Segments and pairs that one worker remembers; beyond it the memory starts anew, with the same results.
-REMEMBERED, PAIRS = 600_000, 2_000_000
+REMEMBERED, PAIRS = 500_000, 600_000
 SEGMENT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -130,7 +130,7 @@ class SegmentIds(dict):
         """Ids of what follows a line end, which is outside every piece and so ends all joins."""
         found = self.parts.get(text)
         if found is None:
-            if len(self.parts) >= REMEMBERED:
+            if len(self.parts) >= REMEMBERED // 2:
                 self.parts.clear()
             found = self.parts[text] = self.pieces.ids(text)
         return found
