@@ -12,56 +12,76 @@ never split, so a block is larger than ``BLOCK`` only for a longer single docume
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from nearfield.llm.chunks import Memory, distinct, slices, spread
 from nearfield.llm.common import partitions, scratch
 from nearfield.llm.huffman import Code, code_lengths
 
 BLOCK = 1 << 18
-#: Distinct chunks that one worker remembers; beyond it the memory starts anew, with the same results.
-REMEMBERED = 1_000_000
+#: Distinct chunks that one worker remembers for each of two generations.
+REMEMBERED = 600_000
 
 RAW = "shard int, block long, n_docs int, n_ids long, doc_ids binary, counts binary, ids binary"
 CODED = "shard int, block long, n_docs int, n_ids long, doc_ids binary, counts binary, offsets binary, payload binary, crc long"
 
 
-class ChunkIds(dict):
-    """Text chunk without a space -> its ids as bytes, each found by the library itself.
+#: Letters whose lower case, composition and spelling in bytes are plain: ASCII and Latin-1.
+LETTERS = re.compile("[a-zß-öø-ÿ]+")
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Byte-level spelling: printable bytes stand for themselves, the others are numbered from 256.
+SPELLING = str.maketrans({chr(b): chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _PLAIN)})
+
+
+class ChunkIds:
+    """Chunk of a text without white space -> its ids as bytes, each found by the library itself.
 
     White space is dropped by the tokenizer before words are formed and its rules look at no character beyond it, so a
-    text's ids are those of its chunks in order. Three shortcuts share library calls: line ends split a chunk, ASCII
-    capitals fold, a full stop or comma after an ASCII letter or digit is a word of its own.
+    text's ids are those of its chunks in order; ASCII capitals may be folded first as the tokenizer folds them. A full
+    stop or comma after an ASCII letter or digit is a word of its own. A chunk of plain letters is one word and goes to the
+    library's merging model directly, where probes show that its other steps leave it alone. Special tokens are matched
+    in a text as it is, so texts with their brackets are not folded.
     """
 
     def __init__(self, tokenizer, dtype):
-        super().__init__()
-        self.tokenizer, self.dtype = tokenizer, dtype
-
-    def __missing__(self, chunk: str) -> bytes:
-        if "\n" in chunk:
-            found = b"".join([self[x] for x in chunk.split("\n")])
-        elif len(chunk) > 1 and chunk[-1] in ".," and chunk[-2].isascii() and chunk[-2].isalnum():
-            found = self[chunk[:-1]] + self[chunk[-1]]
-        elif "<" not in chunk and chunk.isascii() and (low := chunk.lower()) != chunk:
-            found = self[low]
-        else:
-            found = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.dtype).tobytes()
-        if len(chunk) <= 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[chunk] = found
-        return found
-
-    def text(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, text.split(" "))) if text else b""
+        self.tokenizer, self.encode, self.merge = tokenizer, tokenizer.encode, tokenizer.model.tokenize
+        self.dtype, self.kind = dtype, {"<u2": "H", "<u4": "I"}[dtype]
+        self.known = Memory(self.made, REMEMBERED)
+        self.direct = all(self.whole(x) == self.merged(x) for x in ("the", "tokenizer", "été", "straße", "zürich", "ÿþð", "qxzvkjw"))
+
+    def whole(self, chunk: str) -> bytes:
+        return array(self.kind, self.encode(chunk, add_special_tokens=False).ids).tobytes()
+
+    def merged(self, chunk: str) -> bytes:
+        return array(self.kind, [x.id for x in self.merge(chunk.encode().decode("latin-1").translate(SPELLING))]).tobytes()
+
+    def made(self, chunk: str) -> bytes:
+        if self.direct and LETTERS.fullmatch(chunk):
+            return self.merged(chunk)
+        if len(chunk) > 1 and chunk[-1] in ".," and chunk[-2].isascii() and chunk[-2].isalnum():
+            return self.known[chunk[:-1]] + self.known[chunk[-1:]]
+        return self.whole(chunk)
+
+    def texts(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text, in order."""
+        for part in slices(texts):
+            marked = pc.match_substring(part, "<|")
+            folded = pc.if_else(marked, part, pc.ascii_lower(part))
+            chunks, places, offsets = distinct(pc.ascii_split_whitespace(folded))
+            ids, ends = spread(list(map(self.known.__getitem__, chunks)), self.dtype, places, offsets)
+            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                yield ids[a:b].tobytes()
 
 
 _LOADED: dict[str, tuple[ChunkIds, int]] = {}
@@ -96,8 +116,8 @@ def _raw_blocks(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> It
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], RAW.replace(",", "").split()[::2])
 
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            coded = words.text(text.as_py()) + end
+        for doc_id, found in zip(batch.column(0).to_pylist(), words.texts(batch.column(1)), strict=True):
+            coded = found + end
             if docs and held + len(coded) > BLOCK * width:
                 yield flush()
                 block, docs, ids, held = block + 1, [], [], 0
@@ -136,7 +156,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, limit: int = 16) ->
     vocabulary = max(vocabulary, end_id + 1)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = ordered.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(lambda x: _raw_blocks(x, tokenizer_path, end_id), RAW).write.option("compression", "zstd").parquet(f"{path}/raw")
+    ordered.mapInArrow(lambda x: _raw_blocks(x, tokenizer_path, end_id), RAW).write.option("compression", "none").parquet(f"{path}/raw")
     raw = spark.read.schema(RAW).parquet(f"{path}/raw")
     counts = np.zeros(vocabulary, np.int64)
     found = raw.select("ids").mapInArrow(lambda x: _histogram(x, vocabulary), "id long, n long")
