@@ -18,18 +18,21 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearfield.llm.chunks import Memory, distinct, slices, spread
 from nearfield.llm.common import table
 
 BLANK = "▁"
-#: Segments and pairs that one worker remembers; beyond it the memory starts anew, with the same results.
-REMEMBERED, PAIRS = 500_000, 600_000
+#: Segments that one worker remembers for each of two generations, and pairs; what is forgotten is found again.
+REMEMBERED, PAIRS = 400_000, 600_000
 SEGMENT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -119,44 +122,43 @@ class Pieces:
         return tuple(out)
 
 
-class SegmentIds(dict):
+class SegmentIds:
     """Segment without its first blank -> ids, and the same as decimal text."""
 
     def __init__(self, pieces: Pieces):
-        super().__init__()
-        self.pieces, self.parts = pieces, {}
+        self.pieces, self.known, self.parts = pieces, Memory(self.made, REMEMBERED), Memory(pieces.ids, REMEMBERED // 2)
 
-    def part(self, text: str) -> tuple[int, ...]:
-        """Ids of what follows a line end, which is outside every piece and so ends all joins."""
-        found = self.parts.get(text)
-        if found is None:
-            if len(self.parts) >= REMEMBERED // 2:
-                self.parts.clear()
-            found = self.parts[text] = self.pieces.ids(text)
-        return found
-
-    def __missing__(self, rest: str) -> tuple[tuple[int, ...], str]:
+    def made(self, rest: str) -> tuple[tuple[int, ...], str]:
         segment = BLANK + rest
         if "\n" in rest and "\n" not in self.pieces.id:
+            # A line end is outside every piece, so it ends all joins: what stands between is encoded by itself.
             first, *others = segment.split("\n")
             line_end = (self.pieces.byte[10],)
-            ids = self.part(first) + tuple(chain.from_iterable([line_end + (self.part(x) if x else ()) for x in others]))
+            ids = self.parts[first] + tuple(chain.from_iterable([line_end + (self.parts[x] if x else ()) for x in others]))
         else:
             ids = self.pieces.ids(segment)
-        found = (ids, ",".join(map(str, ids)))
-        if len(rest) <= 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[rest] = found
-        return found
-
-    def segments(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        if not text:
-            return []
-        if "  " in text or text[0] == " " or text[-1] == " " or BLANK in text:
-            found = SEGMENT.findall(BLANK + text.replace(" ", BLANK))
-            return [self[x[1:]] for x in found]
-        return list(map(self.__getitem__, text.split(" ")))
+        return ids, ",".join(map(str, ids))
+
+    def odd(self, text: str) -> list[tuple[tuple[int, ...], str]]:
+        """Segments of any text."""
+        return [self.known[x[1:]] for x in SEGMENT.findall(BLANK + text.replace(" ", BLANK))] if text else []
+
+    def texts(self, texts: pa.Array) -> Iterator[tuple[list[int], str]]:
+        """The ids of each text and the same in decimal, in order. Texts whose segments are not just what stands between
+        single blanks are cut one at a time."""
+        for part in slices(texts):
+            mask = pc.or_(pc.match_substring(part, "  "), pc.match_substring(part, BLANK))
+            mask = pc.or_(pc.or_(mask, pc.starts_with(part, " ")), pc.or_(pc.ends_with(part, " "), pc.equal(part, "")))
+            chunks, places, offsets = distinct(pc.split_pattern(pc.if_else(mask, "", part), " "))
+            found = list(map(self.known.__getitem__, chunks))
+            ids, ends = spread([array("I", x[0]).tobytes() for x in found], "<u4", places, offsets)
+            decimal = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array([x[1] for x in found], pa.string()).take(pa.array(places))), ",")
+            for k, is_odd in enumerate(mask.to_pylist()):
+                if is_odd:
+                    own = self.odd(part[k].as_py())
+                    yield list(chain.from_iterable([x[0] for x in own])), ",".join([x[1] for x in own])
+                else:
+                    yield ids[ends[k] : ends[k + 1]].tolist(), decimal[k].as_py()
 
 
 _LOADED: dict[str, SegmentIds] = {}
@@ -173,11 +175,9 @@ def _digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
     decode = known.pieces.model.decode
     for batch in batches:
         counts, coded, decoded = [], [], []
-        for text in batch.column(1):
-            found = known.segments(text.as_py() or "")
-            ids = list(chain.from_iterable([x[0] for x in found]))
+        for ids, decimal in known.texts(batch.column(1)):
             counts.append(len(ids))
-            coded.append(hashlib.sha256(",".join([x[1] for x in found]).encode()).hexdigest())
+            coded.append(hashlib.sha256(decimal.encode()).hexdigest())
             decoded.append(hashlib.sha256((decode(ids) if ids else "").encode()).hexdigest())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], DIGESTS.replace(",", "").split()[::2])
 
@@ -185,7 +185,7 @@ def _digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
 def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     known = segment_ids(path)
     for batch in batches:
-        ids = [list(chain.from_iterable([x[0] for x in known.segments(text.as_py() or "")])) for text in batch.column(1)]
+        ids = [x for x, _ in known.texts(batch.column(1))]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
 
