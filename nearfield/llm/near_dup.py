@@ -7,10 +7,13 @@ that share a band are candidates; every link is confirmed by intersecting the fu
 Exactness without all pairs of a bucket:
 1. Equal sets are one class (partial aggregate by a 128-bit digest); only its smallest doc_id goes on.
 2. A bucket gives a star: its smallest member beside each other one. Confirmed stars give components.
-3. Buckets that still hold members of several components go through blocks of ``BLOCK`` members, block against block, in
-   tasks of bounded size: pairs of different components whose signatures agree enough go on, each from one bucket only.
-   These are confirmed as well, and the components are found anew over all links.
-So a link is lost only if no band meets (below 1e-7 at the threshold) or the signature is off by six deviations.
+3. Buckets that still hold members of several components form clusters. A cluster's members are dealt to classes of set
+   size (a link joins neighbouring classes at most) and there to blocks of about ``BLOCK``; blocks meet in pairs, in tasks of
+   bounded size that hold the two blocks' full sets. Members of a component larger than a block have blocks of their own,
+   which don't meet each other, so a giant group costs no more than the blocks outside of it. Within a task, pairs of
+   different components whose signatures agree enough are confirmed on their full sets, and only links that join
+   components leave the task, so a group never gives all its pairs. The components are found anew over all links.
+So a link is lost only if no band meets (below 1e-7 at the threshold) or the signature is off by five deviations.
 
 Components: alternating large-star and small-star steps on (node, node) tables, each written to the shared folder; links
 never reach the driver. Defined cases: null or empty text and text without words has an empty set and no links; fewer
@@ -20,6 +23,7 @@ nothing and kept; an empty table gives no rows. A text's set is held by one task
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.common import table, written
 
-ROWS, BANDS, TILE, BLOCK = 8, 56, 1 << 15, 256
+ROWS, BANDS, TILE, BLOCK = 8, 56, 1 << 15, 512
 #: Pairs in blocks go on if their estimated similarity is at most so far below the threshold.
 MARGIN = 0.10
 
@@ -113,40 +117,89 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "elements"])
 
 
-def _block_pairs(groups: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Rows of block pairs, each block pair's rows together: pairs of different components that look alike."""
-    names = ("band", "low", "high", "block", "node", "component", "bands", "short")
+def _block_links(rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows of block pairs, each pair's rows together: confirmed links that join components, one for each joining."""
+    names = ("cluster", "class", "low", "high", "block", "node", "component", "lower", "short")
     held, now = [], None
 
-    def pairs(rows: list) -> pa.RecordBatch | None:
-        low, high = rows[0][1], rows[0][2]
-        left = [r for r in rows if r[3] == low]
-        right = left if low == high else [r for r in rows if r[3] == high]
-        marks = np.array([r[6] for r in right])
-        short = np.frombuffer(b"".join([r[7] for r in right]), np.uint8).reshape(len(right), -1)
-        component = np.array([r[5] for r in right])
-        a, b = [], []
+    def links(rows: list) -> pa.RecordBatch | None:
+        low, high = rows[0][2], rows[0][3]
+        left = [r for r in rows if r[4] == low]
+        right = left if low == high else [r for r in rows if r[4] == high]
+        if not left or not right:
+            return None
+        short = np.frombuffer(b"".join([r[8] for r in right]), np.uint8).reshape(len(right), -1)
+        size = np.array([len(r[9]) for r in right])
+        lower = np.array([r[7] for r in right])
+        root = {r[6]: r[6] for r in rows}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        component = np.array([r[6] for r in right])
+        out = []
         for i, r in enumerate(left):
-            near = (short == np.frombuffer(r[7], np.uint8)).mean(axis=1) >= least
-            near &= component != r[5]
+            n = len(r[9])
+            near = (np.minimum(size, n) * 100 >= np.maximum(size, n) * percent) & (component != r[6]) & (lower | r[7])
             if low == high:
                 near[: i + 1] = False
-            same = marks[near] == np.array(r[6])
-            for j, shared in zip(np.flatnonzero(near), same, strict=True):
-                if r[6][int(shared.argmax())] == rows[0][0]:  # the first band that they share
-                    a.append(min(r[4], right[j][4]))
-                    b.append(max(r[4], right[j][4]))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]) if a else None
-
-    for batch in groups:
-        for row in zip(*[batch.column(x).to_pylist() for x in names], strict=True):
-            if now != row[:3]:
-                if held and (out := pairs(held)):
-                    yield out
-                held, now = [], row[:3]
-            held.append(row)
-    if held and (out := pairs(held)):
-        yield out
+            at = np.flatnonzero(near)
+            if len(at):
+                at = at[(short[at] == np.frombuffer(r[8], np.uint8)).mean(axis=1) >= percent / 100 - MARGIN]
+            for j in at:
+                x, y = find(r[6]), find(int(component[j]))
+                if x != y:
+                    shared = len(np.intersect1d(r[9], right[j][9], assume_unique=True))
+                    if 100 * shared >= percent * (n + int(size[j]) - shared):
+                        root[max(x, y)] = min(x, y)
+                        out.append((r[5], right[j][5]))
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"]) if out else None
+
+    for batch in rows:
+        elements = batch.column("elements")
+        flat, ends = elements.values.to_numpy(), elements.offsets.to_numpy()
+        for k, row in enumerate(zip(*[batch.column(x).to_pylist() for x in names], strict=True)):
+            if now != row[:4]:
+                if held and (found := links(held)):
+                    yield found
+                held, now = [], row[:4]
+            held.append((*row, flat[ends[k] : ends[k + 1]].copy()))
+    if held and (found := links(held)):
+        yield found
+
+
+def block_links(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join components within clusters of ``members(cluster, node, component, short, elements)``."""
+    step = -math.log(percent / 100)
+    size_class = F.floor(F.log(F.size("elements").cast("double")) / step).cast("long")
+    light = members.select("cluster", "node", "component", size_class.alias("own"))
+    # A member is the lower kind in its own class and the higher kind in the class below; classes without lower kinds are empty.
+    dealt = light.withColumn("class", F.explode(F.array(F.col("own"), F.col("own") - 1))).withColumn("lower", F.col("class") == F.col("own")).drop("own")
+    group = ["cluster", "class"]
+    dealt = dealt.join(dealt.where("lower").select(*group).distinct(), group, "left_semi")
+    sizes = dealt.groupBy(*group, "component").agg(F.count("*").alias("size"))
+    pooled = sizes.groupBy(*group).agg(F.sum(F.when(F.col("size") <= BLOCK, F.col("size")).otherwise(0)).alias("pool"), F.count("*").alias("several")).where("several > 1")
+    big = F.col("size") > BLOCK
+    n_blocks = F.ceil(F.when(big, F.col("size")).otherwise(F.col("pool")) / BLOCK)
+    placed = dealt.join(sizes, [*group, "component"]).join(pooled, group).withColumn("number", F.pmod(F.xxhash64("node"), n_blocks))
+    placed = written(placed.select(*group, "node", "component", "lower", F.when(big, F.col("component")).alias("owner"), "number"), "blocks")
+    name = F.concat(F.coalesce(F.concat(F.lit("c"), F.col("owner")), F.lit("m")), F.lit("-"), F.col("number"))
+    placed = placed.withColumn("block", name)
+    blocks = placed.select(*group, "owner", "block").distinct()
+    mixed, owned = blocks.where("owner is null").drop("owner").withColumnRenamed("block", "other"), blocks.where("owner is not null").withColumnRenamed("block", "other")
+    others = owned.select(*group, F.col("owner").alias("of")).distinct()
+    to_mixed = placed.join(mixed, group)
+    from_mixed = placed.where("owner is null").join(owned.drop("owner"), group)
+    between = placed.where("owner is not null").join(others, group).where("owner <> of").join(owned.withColumnRenamed("owner", "of"), [*group, "of"]).drop("of")
+    met = to_mixed.unionByName(from_mixed).unionByName(between)
+    pairs = met.select(*group, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "component", "lower")
+    full = pairs.join(members.select("node", "short", "elements"), "node")
+    key = [*group, "low", "high"]
+    ordered = full.repartition(*key).sortWithinPartitions(*key, "block", "node").select(*key, "block", "node", "component", "lower", "short", "elements")
+    return ordered.mapInArrow(lambda x: _block_links(x, percent), "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -191,23 +244,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     met = written(members.join(shared, "band"), "met")
     stars = written(met.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), "stars")
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        return written(texts.join(nodes, "doc_id", "left_semi").mapInArrow(lambda x: _sets(x, words), "node long, elements array<long>"), "sets")
-
-    first = written(confirmed(stars, sets_of(stars), percent), "confirmed")
+    nodes = stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).distinct()
+    sets = texts.join(nodes, "doc_id", "left_semi").mapInArrow(lambda x: _sets(x, words), "node long, elements array<long>")
+    sets = written(sets.dropDuplicates(["node"]), "sets")
+    first = written(confirmed(stars, sets, percent), "confirmed")
     found = components(first)
-    # Buckets with several components after the stars.
+    # Buckets with several components after the stars, and the clusters that they form.
     labelled = met.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = labelled.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x <> y").select("band", "m")
-    rest = labelled.select("band", "node", "component").join(open_, "band").withColumn("blocks", F.ceil(F.col("m") / BLOCK)).withColumn("block", F.expr("pmod(xxhash64(node), blocks)"))
-    spread = rest.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "component")
-    full = spread.join(marks.select("node", "bands", "short").dropDuplicates(["node"]), "node")
-    dealt = full.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "block", "node")
-    least = percent / 100 - MARGIN
-    more = written(dealt.mapInArrow(lambda x: _block_pairs(x, least), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        second = written(confirmed(more, sets_of(more), percent), "confirmed")
+    open_ = labelled.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
+    rest = written(labelled.join(open_, "band", "left_semi").select("node", "center", "component"), "rest")
+    if not rest.isEmpty():
+        clusters = components(rest.select(F.col("node").alias("a"), F.col("center").alias("b"))).withColumnRenamed("component", "cluster")
+        members = rest.select("node", "component").distinct().join(clusters, "node").join(marks.select("node", "short").dropDuplicates(["node"]), "node").join(sets, "node")
+        second = written(block_links(written(members, "members"), percent), "joined")
         if not second.isEmpty():
             found = components(first.unionByName(second))
     placed = signed.select("doc_id", "n_shingles", "key").join(classes, "key", "left").join(found, "node", "left")
