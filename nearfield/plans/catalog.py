@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from nearfield.plans import relational, scalar, streams  # noqa: F401
+from nearfield.plans.registry import QUERIES, SQL
+
 FLAGSHIP = "knn_tiled"
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
