@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.common import table, written
 
-ROWS, BANDS, TILE, BLOCK = 8, 56, 1 << 15, 512
+ROWS, BANDS, TILE, BLOCK, FILTER = 8, 56, 1 << 15, 512, 1 << 24
 #: Pairs in blocks go on if their estimated similarity is at most so far below the threshold.
 MARGIN = 0.10
 
@@ -202,6 +202,26 @@ def block_links(members: DataFrame, percent: int) -> DataFrame:
     return ordered.mapInArrow(lambda x: _block_links(x, percent), "a long, b long").distinct()
 
 
+def marked_ids(ids: DataFrame) -> bytes:
+    """A bitmap of ``FILTER`` bits in which the hash of every doc_id is set; a filter that passes all of them and few others.
+
+    At most FILTER / 64 rows reach the driver. With more ids than bits it passes more rows, which a join then removes.
+    """
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER))
+    words = ids.select(spot.alias("spot")).groupBy(F.expr("spot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(spot % 64 as int)))").alias("bits"))
+    table_ = words.toArrow()
+    out = np.zeros(FILTER // 64, np.int64)
+    out[table_.column("word").to_numpy()] = table_.column("bits").to_numpy()
+    return out.tobytes()
+
+
+def _among(batches: Iterator[pa.RecordBatch], held: bytes) -> Iterator[pa.RecordBatch]:
+    bits = np.frombuffer(held, np.int64)
+    for batch in batches:
+        spot = batch.column("spot").to_numpy(zero_copy_only=False)
+        yield batch.filter(pa.array((bits[spot >> 6] >> (spot & 63)) & 1 == 1))
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of ``pairs(a, b)``, those whose full sets have 100 * intersection >= percent * union. Sorted joins; skew is split."""
     left = sets.select(F.col("node").alias("a"), F.col("elements").alias("left"))
@@ -238,15 +258,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     signed = written(texts.mapInArrow(lambda x: _signed(x, words, rows, n_bands), "doc_id long, n_shingles long, key binary, bands array<long>, short binary"), "signatures")
     named = signed.where("n_shingles > 0 and doc_id is not null")
     classes = named.groupBy("key").agg(F.min("doc_id").alias("node"))
-    marks = named.select("key", F.col("doc_id").alias("node"), "bands", "short").join(classes, ["key", "node"])
+    marks = named.select("key", F.col("doc_id").alias("node"), "bands", "short").join(classes, ["key", "node"]).drop("key")
+    marks = written(marks, "marks")
     members = marks.select("node", F.explode("bands").alias("band"))
     shared = written(members.groupBy("band").agg(F.min("node").alias("center"), F.count("*").alias("n")).where("n > 1"), "buckets")
     met = written(members.join(shared, "band"), "met")
     stars = written(met.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), "stars")
 
     nodes = stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).distinct()
-    sets = texts.join(nodes, "doc_id", "left_semi").mapInArrow(lambda x: _sets(x, words), "node long, elements array<long>")
-    sets = written(sets.dropDuplicates(["node"]), "sets")
+    held = marked_ids(nodes)
+    spotted = texts.where("doc_id is not null").withColumn("spot", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER)))
+    near = spotted.mapInArrow(lambda x: _among(x, held), "doc_id long, text string, spot long").drop("spot")
+    sets = near.join(nodes, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(lambda x: _sets(x, words), "node long, elements array<long>")
+    sets = written(sets, "sets")
     first = written(confirmed(stars, sets, percent), "confirmed")
     found = components(first)
     # Buckets with several components after the stars, and the clusters that they form.
