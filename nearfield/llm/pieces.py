@@ -20,8 +20,8 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +32,7 @@ from nearfield.llm.common import table
 
 BLANK = "▁"
 #: Segments that one worker remembers for each of two generations, and pairs; what is forgotten is found again.
-REMEMBERED, PAIRS = 400_000, 600_000
+REMEMBERED, PAIRS = 300_000, 400_000
 SEGMENT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -110,55 +110,50 @@ class Pieces:
         out.reverse()
         return out
 
-    def ids(self, segment: str) -> tuple[int, ...]:
+    def ids(self, segment: str) -> bytes:
         found = self.joined(segment) if segment.startswith(BLANK * 2) else self.split(segment)
-        out: list[int] = []
+        out = array("I")
         for piece in found:
             k = self.id.get(piece)
             if k is None:
-                out += [self.byte[b] for b in piece.encode()]
+                out.extend([self.byte[b] for b in piece.encode()])
             else:
                 out.append(k)
-        return tuple(out)
+        return out.tobytes()
 
 
 class SegmentIds:
-    """Segment without its first blank -> ids, and the same as decimal text."""
+    """Segment without its first blank -> its ids as 32-bit words."""
 
     def __init__(self, pieces: Pieces):
         self.pieces, self.known, self.parts = pieces, Memory(self.made, REMEMBERED), Memory(pieces.ids, REMEMBERED // 2)
+        self.decimal = pa.array([str(k) for k in range(pieces.model.vocab_size())], pa.string())
 
-    def made(self, rest: str) -> tuple[tuple[int, ...], str]:
+    def made(self, rest: str) -> bytes:
         segment = BLANK + rest
-        if "\n" in rest and "\n" not in self.pieces.id:
-            # A line end is outside every piece, so it ends all joins: what stands between is encoded by itself.
-            first, *others = segment.split("\n")
-            line_end = (self.pieces.byte[10],)
-            ids = self.parts[first] + tuple(chain.from_iterable([line_end + (self.parts[x] if x else ()) for x in others]))
-        else:
-            ids = self.pieces.ids(segment)
-        return ids, ",".join(map(str, ids))
-
-    def odd(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        """Segments of any text."""
-        return [self.known[x[1:]] for x in SEGMENT.findall(BLANK + text.replace(" ", BLANK))] if text else []
-
-    def texts(self, texts: pa.Array) -> Iterator[tuple[list[int], str]]:
+        if "\n" not in rest or "\n" in self.pieces.id:
+            return self.pieces.ids(segment)
+        # A line end is outside every piece, so it ends all joins: what stands between is encoded by itself.
+        line_end = array("I", [self.pieces.byte[10]]).tobytes()
+        return line_end.join([self.parts[x] if x else b"" for x in segment.split("\n")])
+
+    def odd(self, text: str) -> np.ndarray:
+        """The ids of any text."""
+        segments = SEGMENT.findall(BLANK + text.replace(" ", BLANK)) if text else []
+        return np.frombuffer(b"".join([self.known[x[1:]] for x in segments]), "<u4")
+
+    def texts(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, str]]:
         """The ids of each text and the same in decimal, in order. Texts whose segments are not just what stands between
         single blanks are cut one at a time."""
         for part in slices(texts):
             mask = pc.or_(pc.match_substring(part, "  "), pc.match_substring(part, BLANK))
             mask = pc.or_(pc.or_(mask, pc.starts_with(part, " ")), pc.or_(pc.ends_with(part, " "), pc.equal(part, "")))
             chunks, places, offsets = distinct(pc.split_pattern(pc.if_else(mask, "", part), " "))
-            found = list(map(self.known.__getitem__, chunks))
-            ids, ends = spread([array("I", x[0]).tobytes() for x in found], "<u4", places, offsets)
-            decimal = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array([x[1] for x in found], pa.string()).take(pa.array(places))), ",")
-            for k, is_odd in enumerate(mask.to_pylist()):
-                if is_odd:
-                    own = self.odd(part[k].as_py())
-                    yield list(chain.from_iterable([x[0] for x in own])), ",".join([x[1] for x in own])
-                else:
-                    yield ids[ends[k] : ends[k + 1]].tolist(), decimal[k].as_py()
+            ids, ends = spread(list(map(self.known.__getitem__, chunks)), "<u4", places, offsets)
+            rows = [self.odd(part[k].as_py()) if is_odd else ids[ends[k] : ends[k + 1]] for k, is_odd in enumerate(mask.to_pylist())]
+            bounds = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+            signs = self.decimal.take(pa.array(np.concatenate(rows).astype(np.int32)))
+            yield from zip(rows, pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), signs), ",").to_pylist(), strict=True)
 
 
 _LOADED: dict[str, SegmentIds] = {}
@@ -178,14 +173,14 @@ def _digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
         for ids, decimal in known.texts(batch.column(1)):
             counts.append(len(ids))
             coded.append(hashlib.sha256(decimal.encode()).hexdigest())
-            decoded.append(hashlib.sha256((decode(ids) if ids else "").encode()).hexdigest())
+            decoded.append(hashlib.sha256((decode(ids.tolist()) if len(ids) else "").encode()).hexdigest())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], DIGESTS.replace(",", "").split()[::2])
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     known = segment_ids(path)
     for batch in batches:
-        ids = [x for x, _ in known.texts(batch.column(1))]
+        ids = [x.astype(np.int32) for x, _ in known.texts(batch.column(1))]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
 
