@@ -25,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearfield.llm.chunks import Memory
 from nearfield.llm.common import table
 
 GRAM, SPACE = 5, 1 << 20
 POSITIVE, UNLABELLED, FEATURES = 3_000, 9_000, 1_024
-THRESHOLD, REMEMBERED = 0.7, 500_000
+THRESHOLD, REMEMBERED = 0.7, 100_000
 LETTERS = re.compile(r"[^\W\d_]+")
 SCORES = "doc_id long, score double"
 
@@ -119,25 +120,17 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return Model({int(g): float(x) for g, x in zip(chosen, w[:-1], strict=True)}, float(w[-1]))
 
 
-class WordFeatures(dict):
-    """Folded word -> its grams that have weights."""
+class WordFeatures:
+    """Folded word -> its grams that have weights, remembered within bounds."""
 
     def __init__(self, model: Model):
-        super().__init__()
         self.model = model
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        found = tuple([g for g in grams(word) if g in self.model.features])
-        if len(word) <= 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = found
-        return found
+        self.known = Memory(lambda word: tuple([g for g in grams(word) if g in model.features]), REMEMBERED)
 
 
 def score(text: str | None, known: WordFeatures) -> float:
     present: set[int] = set()
-    for found in map(known.__getitem__, set(LETTERS.findall((text or "").lower()))):
+    for found in map(known.known.__getitem__, set(LETTERS.findall((text or "").lower()))):
         if found:
             present.update(found)
     z = known.model.bias + sum([known.model.features[g] for g in sorted(present)])
