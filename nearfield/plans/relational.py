@@ -324,12 +324,12 @@ def _blips(spark, sf_dir):
     rows = knn.tiled(points, view(spark, sf_dir, "articles_d"), 20)
     full = rows.join(points.select("pid", F.col("lat").alias("plat"), F.col("lon").alias("plon")), "pid")
     x, y = text.blip(geo.bearing("plat", "plon", "lat", "lon"), F.col("distance_m"), F.lit(30.0), F.lit(500000.0), F.lit(150.0))
-    return full.select("pid", F.col("rank").alias("rn"), "title", x.alias("bx"), y.alias("b_y"))
+    return full.select("pid", F.col("rank").alias("rn"), "title", F.round(x, 4).alias("bx"), F.round(y, 4).alias("b_y"))
 
 
-@query(f"{BLIPS} SELECT pid, CAST(rn AS INTEGER) AS rn, title, round(bx, 2) AS bx, round(b_y, 2) AS b_y FROM blips")
+@query(f"{BLIPS} SELECT pid, CAST(rn AS INTEGER) AS rn, title, bx, b_y FROM blips")
 def radar_project(spark, sf_dir):
-    return _blips(spark, sf_dir).withColumns({"bx": F.round("bx", 2), "b_y": F.round("b_y", 2)})
+    return _blips(spark, sf_dir)
 
 
 @query(f"{BLIPS} SELECT pid, title AS hit FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY round(sqrt((bx - 40) * (bx - 40) + (b_y - 40) * (b_y - 40)), 2), rn) AS k FROM blips WHERE sqrt((bx - 40) * (bx - 40) + (b_y - 40) * (b_y - 40)) < 60) WHERE k = 1")
