@@ -19,6 +19,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from nearfield.llm.chunks import Memory
 from nearfield.llm.common import table
 
-GRAM, SPACE = 5, 1 << 20
-POSITIVE, UNLABELLED, FEATURES = 3_000, 9_000, 1_024
+GRAM, SPACE = 5, 1 << 18
+POSITIVE, UNLABELLED, FEATURES = 2_000, 6_000, 1_024
 THRESHOLD, REMEMBERED = 0.7, 100_000
 LETTERS = re.compile(r"[^\W\d_]+")
 SCORES = "doc_id long, score double"
@@ -77,8 +78,8 @@ def sample(docs: DataFrame, labels: DataFrame, positive: int, unlabelled: int) -
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most positive + unlabelled ids
     found = texts.select("positive", "text").mapInArrow(_present, "positive boolean, grams binary").toArrow()
     p, u = [], []
-    for is_positive, own in zip(found.column("positive").to_pylist(), found.column("grams").to_pylist(), strict=True):
-        (p if is_positive else u).append(np.frombuffer(own, "<u4"))
+    for is_positive, own in zip(found.column("positive").to_pylist(), chain.from_iterable(x for x in found.column("grams").chunks), strict=True):
+        (p if is_positive else u).append(np.frombuffer(own.as_buffer(), "<u4"))  # views of the one table
     return p, u, prior
 
 
@@ -87,7 +88,10 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     if not positive or not unlabelled or not 0 < prior < 1:
         return Model({}, float("-inf"))
     positive, unlabelled = (sorted(x, key=lambda y: y.tobytes()) for x in (positive, unlabelled))
-    counts = [np.bincount(np.concatenate(x), minlength=SPACE) for x in (positive, unlabelled)]
+    counts = [np.zeros(SPACE, np.int32) for _ in range(2)]
+    for total, rows in zip(counts, (positive, unlabelled), strict=True):
+        for own in rows:  # each gram once a row
+            total[own] += 1
     share = [c / len(x) for c, x in zip(counts, (positive, unlabelled), strict=True)]
     # Grams of the positive class are up to 1 / prior times as common among positives; noise is about as common.
     gain = np.where(counts[0] >= 5, share[0] * np.log((share[0] + 1e-4) / (share[1] + 1e-4)), 0)
