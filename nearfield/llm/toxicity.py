@@ -30,7 +30,7 @@ from nearfield.llm.chunks import Memory
 from nearfield.llm.common import table
 
 GRAM, SPACE = 5, 1 << 18
-POSITIVE, UNLABELLED, FEATURES = 2_000, 6_000, 1_024
+POSITIVE, UNLABELLED, FEATURES, LIFT = 2_000, 6_000, 1_024, 3.0
 THRESHOLD, REMEMBERED = 0.7, 100_000
 LETTERS = re.compile(r"[^\W\d_]+")
 SCORES = "doc_id long, score double"
@@ -83,8 +83,11 @@ def sample(docs: DataFrame, labels: DataFrame, positive: int, unlabelled: int) -
     return p, u, prior
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, features: int = FEATURES, steps: int = 400, rate: float = 0.05, decay: float = 1e-5) -> Model:
-    """Weights by Adam on the non-negative risk with the sigmoid loss; rows in hash order, so reruns agree."""
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, features: int = FEATURES, steps: int = 300, rate: float = 0.05) -> Model:
+    """Weights by Adam on the non-negative risk with the logistic loss; rows in a set order, so reruns agree.
+
+    Decay falls with the number of positives, as fewer of their chance grams then stand out.
+    """
     if not positive or not unlabelled or not 0 < prior < 1:
         return Model({}, float("-inf"))
     positive, unlabelled = (sorted(x, key=lambda y: y.tobytes()) for x in (positive, unlabelled))
@@ -93,8 +96,10 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         for own in rows:  # each gram once a row
             total[own] += 1
     share = [c / len(x) for c, x in zip(counts, (positive, unlabelled), strict=True)]
-    # Grams of the positive class are up to 1 / prior times as common among positives; noise is about as common.
-    gain = np.where(counts[0] >= 5, share[0] * np.log((share[0] + 1e-4) / (share[1] + 1e-4)), 0)
+    # A gram of the positive class alone is 1 / prior times as common among positives; one of its language, once to twice.
+    lift = (share[0] + 0.5 / len(positive)) / (share[1] + 0.5 / len(unlabelled) + 1e-4)
+    telling = (counts[0] >= max(3, 0.004 * len(positive))) & (lift >= LIFT)
+    gain = np.where(telling, share[0] * np.log(np.maximum(lift, 1)), 0)
     chosen = np.argsort(-gain, kind="stable")[:features]
     chosen = chosen[gain[chosen] > 0]
     place = np.full(SPACE, -1)
@@ -107,17 +112,16 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
             out[k, at[at >= 0]] = 1
         return out
 
-    p, u = matrix(positive), matrix(unlabelled)
-    w, first, second = np.zeros(len(chosen) + 1, np.float64), 0.0, 0.0
-    w[-1] = -1.0
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    p, u, decay = matrix(positive), matrix(unlabelled), min(1e-3, 0.1 / len(positive))
+    w, first, second = np.zeros(len(chosen) + 1), 0.0, 0.0
+    w[-1] = -2.0
     for step in range(1, steps + 1):
-        sp, su = (sigmoid(x @ w[:-1].astype(np.float32) + w[-1]) for x in (p, u))
-        # Loss of calling a text the other class: sigmoid(-z) as positive, sigmoid(z) as negative.
-        dp, du = sp * (1 - sp) / len(p), su * (1 - su) / len(u)
-        as_positive = -prior * np.append(dp @ p, dp.sum())
-        as_negative = np.append(du @ u, du.sum()) - prior * np.append(dp @ p, dp.sum())
-        gradient = as_positive + as_negative if su.mean() - prior * sp.mean() >= 0 else -as_negative
+        sp, su = (1 / (1 + np.exp(-np.clip(x @ w[:-1].astype(np.float32) + w[-1], -30, 30))) for x in (p, u))
+        miss, alarm, wrong = (1 - sp) / len(p), sp / len(p), su / len(u)  # slopes of the three risks' losses
+        as_positive = -prior * np.append(miss @ p, miss.sum())
+        as_negative = np.append(wrong @ u, wrong.sum()) - prior * np.append(alarm @ p, alarm.sum())
+        negative_risk = -np.log1p(-np.minimum(su, 1 - 1e-7)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-7)).mean()
+        gradient = as_positive + as_negative if negative_risk >= 0 else -as_negative
         gradient = gradient + decay * np.append(w[:-1], 0)
         first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
         w -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
@@ -133,6 +137,8 @@ class WordFeatures:
 
 
 def score(text: str | None, known: WordFeatures) -> float:
+    if known.model.bias == float("-inf"):
+        return 0.0
     present: set[int] = set()
     for found in map(known.known.__getitem__, set(LETTERS.findall((text or "").lower()))):
         if found:
