@@ -22,6 +22,7 @@ def slices(texts: pa.Array) -> Iterator[pa.Array]:
         stop = max(start + 1, int(np.searchsorted(sizes, before + SLICE, side="right")))
         yield texts.slice(start, stop - start)
         start = stop
+    pa.default_memory_pool().release_unused()  # workers outlive tasks
 
 
 def distinct(lists: pa.ListArray) -> tuple[list[str], np.ndarray, np.ndarray]:

@@ -32,7 +32,7 @@ from nearfield.llm.common import table
 
 BLANK = "▁"
 #: Segments that one worker remembers for each of two generations, and pairs; what is forgotten is found again.
-REMEMBERED, PAIRS = 300_000, 400_000
+REMEMBERED, PAIRS = 150_000, 300_000
 SEGMENT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
