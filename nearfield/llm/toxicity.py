@@ -30,7 +30,7 @@ from nearfield.llm.chunks import Memory
 from nearfield.llm.common import table
 
 GRAM, SPACE = 5, 1 << 18
-POSITIVE, UNLABELLED, FEATURES, LIFT = 2_000, 6_000, 1_024, 3.0
+POSITIVE, UNLABELLED, FEATURES, LIFT = 2_000, 6_000, 1_024, 2.0
 THRESHOLD, REMEMBERED = 0.7, 100_000
 LETTERS = re.compile(r"[^\W\d_]+")
 SCORES = "doc_id long, score double"
@@ -84,10 +84,7 @@ def sample(docs: DataFrame, labels: DataFrame, positive: int, unlabelled: int) -
 
 
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, features: int = FEATURES, steps: int = 300, rate: float = 0.05) -> Model:
-    """Weights by Adam on the non-negative risk with the logistic loss; rows in a set order, so reruns agree.
-
-    Decay falls with the number of positives, as fewer of their chance grams then stand out.
-    """
+    """Weights by Adam on the non-negative risk; rows in a set order, so reruns agree."""
     if not positive or not unlabelled or not 0 < prior < 1:
         return Model({}, float("-inf"))
     positive, unlabelled = (sorted(x, key=lambda y: y.tobytes()) for x in (positive, unlabelled))
@@ -112,15 +109,22 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
             out[k, at[at >= 0]] = 1
         return out
 
-    p, u, decay = matrix(positive), matrix(unlabelled), min(1e-3, 0.1 / len(positive))
+    p, u, decay = matrix(positive), matrix(unlabelled), 1e-5
     w, first, second = np.zeros(len(chosen) + 1), 0.0, 0.0
     w[-1] = -2.0
     for step in range(1, steps + 1):
         sp, su = (1 / (1 + np.exp(-np.clip(x @ w[:-1].astype(np.float32) + w[-1], -30, 30))) for x in (p, u))
-        miss, alarm, wrong = (1 - sp) / len(p), sp / len(p), su / len(u)  # slopes of the three risks' losses
+        # Slopes of the three risks' losses: logistic first, which finds the class from anywhere; then the sigmoid loss, which
+        # no longer pulls at texts that are plainly of one class and so leaves chance grams alone.
+        if step <= steps // 3:
+            miss, alarm, wrong = (1 - sp) / len(p), sp / len(p), su / len(u)
+            negative_risk = -np.log1p(-np.minimum(su, 1 - 1e-7)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-7)).mean()
+        else:
+            miss = alarm = sp * (1 - sp) / len(p)
+            wrong = su * (1 - su) / len(u)
+            negative_risk = su.mean() - prior * sp.mean()
         as_positive = -prior * np.append(miss @ p, miss.sum())
         as_negative = np.append(wrong @ u, wrong.sum()) - prior * np.append(alarm @ p, alarm.sum())
-        negative_risk = -np.log1p(-np.minimum(su, 1 - 1e-7)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-7)).mean()
         gradient = as_positive + as_negative if negative_risk >= 0 else -as_negative
         gradient = gradient + decay * np.append(w[:-1], 0)
         first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
