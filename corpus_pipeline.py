@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from nearfield.llm import mixing, near_dup, pieces, toxicity
-from nearfield.llm.common import table, written
+from nearfield.llm.common import small_batches, table, written
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,6 +30,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each document of the mix, encoded and decoded."""
+    small_batches(spark)
     return pieces.digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 

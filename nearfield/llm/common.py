@@ -10,8 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 _LOCAL: list[str] = []
 
 
+#: Rows and bytes of one Arrow batch: what a task holds outside of the JVM's heap and in Python doesn't grow with the texts.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to ``BATCH``; they are read when a plan runs, so they stay set."""
+    for key, value in BATCH.items():
+        spark.conf.set(key, value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table. Only Spark opens the path, so any Hadoop file system works."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -20,6 +31,7 @@ def scratch(spark: SparkSession, what: str) -> str:
 
     Where the setting is absent (tests, local mode) one temporary folder serves the whole session.
     """
+    small_batches(spark)
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if not _LOCAL:
