@@ -85,10 +85,15 @@ def page(rows: DataFrame, start: int, end: int) -> DataFrame:
 
 def ring_page(positions: DataFrame, articles: DataFrame, start: int, end: int) -> DataFrame:
     """Progressive page: rings are added until ``end`` distinct titles are held, then sorted and sliced. The page may miss
-    a nearer article of the next ring; ``everywhere`` doesn't."""
+    a nearer article of the next ring; ``everywhere`` doesn't. Native rows are in one tile each, so the ring at which their
+    counts reach ``end`` bounds the rings whose members are read."""
     members = tiling.members(articles)
-    tiles = members.select("tile_row", "tile_col").distinct()
-    by_ring = tiling.rings(positions, tiles, MAX_RING)
+    natives = members.groupBy("tile_id", "tile_row", "tile_col").agg(F.count_if("native").alias("natives"))
+    by_ring = tiling.rings(positions, natives.select("tile_row", "tile_col"), MAX_RING)
+    counted = by_ring.join(F.broadcast(natives.select("tile_id", "natives")), "tile_id")  # 2,592 tiles at most
+    sums = counted.groupBy("pid", "ring").agg(F.sum("natives").alias("n")).withColumn("held", F.sum("n").over(W.partitionBy("pid").orderBy("ring")))
+    bound = sums.groupBy("pid").agg(F.coalesce(F.min(F.when(F.col("held") >= end, F.col("ring"))), F.lit(MAX_RING)).alias("bound"))
+    by_ring = by_ring.join(bound, "pid").where("ring <= bound").drop("bound")
     met = by_ring.join(located(members).select("tile_id", "seq", "title", "x", "y", "z", "weight"), "tile_id")
     first = met.groupBy("pid", "seq", "title", "x", "y", "z", "weight").agg(F.min("ring").alias("ring"))
     upto = first.groupBy("pid", "ring").agg(F.count("*").alias("n")).withColumn("held", F.sum("n").over(W.partitionBy("pid").orderBy("ring")))
