@@ -62,7 +62,7 @@ def _present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = set(LETTERS.findall((text.as_py() or "").lower()))
             own = np.unique(np.array([g for w in words for g in grams(w)], np.uint32)) if words else np.zeros(0, np.uint32)
             found.append(own.astype("<u4").tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["positive", "grams"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(2)], ["positive", "grams", "doc_id"])
 
 
 def sample(docs: DataFrame, labels: DataFrame, positive: int, unlabelled: int) -> tuple[list[np.ndarray], list[np.ndarray], float]:
@@ -76,7 +76,8 @@ def sample(docs: DataFrame, labels: DataFrame, positive: int, unlabelled: int) -
         .unionByName(rows.orderBy("order", "doc_id").limit(unlabelled).select("doc_id", F.lit(False).alias("positive")))
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most positive + unlabelled ids
-    found = texts.select("positive", "text").mapInArrow(_present, "positive boolean, grams binary").toArrow()
+    grams_ = texts.select("positive", "text", "doc_id").mapInArrow(_present, "positive boolean, grams binary, doc_id long")
+    found = grams_.groupBy("positive", "doc_id").agg(F.min("grams").alias("grams")).toArrow()  # rows that repeat a doc_id are one row of the sample
     p, u = [], []
     for is_positive, own in zip(found.column("positive").to_pylist(), chain.from_iterable(x for x in found.column("grams").chunks), strict=True):
         (p if is_positive else u).append(np.frombuffer(own.as_buffer(), "<u4"))  # views of the one table

@@ -186,6 +186,13 @@ def test_toxicity_hard_rows(docs, spark):
     assert toxicity.cleaned(docs, model).columns == docs.columns and toxicity.cleaned(docs, model).count() == docs.count()
 
 
+def test_toxicity_sample_is_bounded_under_repeated_ids(spark):
+    rows = spark.range(600).selectExpr("if(id < 500, 0L, id) doc_id", "concat('text ', id) text")
+    labels = spark.createDataFrame([(0, 1), (0, 1), (501, 0)], "doc_id long, toxic int")
+    positive, unlabelled, prior = toxicity.sample(rows, labels, 5, 50)
+    assert (len(positive), len(unlabelled), prior) == (1, 50, 0.5)
+
+
 def brute_components(rows, words, percent):
     fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}
