@@ -1,13 +1,13 @@
 """Toxicity by non-negative positive-unlabelled learning: a numpy classifier from confirmed toxic texts and any texts.
 
-Features: hashed runs of ``GRAM`` letters within words (word ends marked), present or not, so spellings of a word share
-features and length counts little. Training takes at most ``POSITIVE`` confirmed toxic texts and ``UNLABELLED`` texts of any
+Features: runs of ``GRAM`` bytes within words (word ends marked), present or not, so spellings of a word share features. A run
+is its bytes read as a number, never a hash: what was not seen in training has no weight, however long the text. Training takes at most ``POSITIVE`` confirmed toxic texts and ``UNLABELLED`` texts of any
 kind, the first by a hash of doc_id; both bounds are parameters. The class prior is the toxic share of the labelled training
 rows. The ``FEATURES`` grams that are most telling between the two samples get weights that minimise the corrected risk
 prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)); where the second term is negative, its gradient is walked back.
 
-Plan: training rows are chosen on narrow columns, their texts fetched by one join, and their grams (not texts) reach the
-driver: bounded by the sample. Scoring is a map over all texts; no shuffle. Labels choose training rows only: label, lang,
+Plan: training rows are chosen on narrow columns, their texts fetched by one join, and their grams counted where they are; the
+grams with weights and each training row's share of them reach the driver: bounded by the sample. Scoring is a map over all texts; no shuffle. Labels choose training rows only: label, lang,
 source and doc_id are no inputs of a score. Defined cases: null text is empty and has the score of the bias; texts with equal
 words have equal scores; without positives or texts to train on, all scores are 0; repeated labels of a doc_id count toxic if
 any is; null labels are no labels; an empty table gives no rows; other columns are not read.
@@ -16,10 +16,8 @@ any is; null labels are no labels; an empty table gives no rows; other columns a
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,19 +25,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm.chunks import Memory
-from nearfield.llm.common import table
+from nearfield.llm.common import table, written
 
-GRAM, SPACE = 5, 1 << 18
-POSITIVE, UNLABELLED, FEATURES, LIFT = 2_000, 6_000, 1_024, 2.0
+GRAM = 5
+POSITIVE, UNLABELLED, FEATURES, LIFT = 3_000, 9_000, 1_024, 2.0
 THRESHOLD, REMEMBERED = 0.7, 100_000
 LETTERS = re.compile(r"[^\W\d_]+")
 SCORES = "doc_id long, score double"
 
 
 def grams(word: str) -> list[int]:
-    """Hashed runs of a folded word with its ends marked; a shorter word is one run."""
+    """Runs of a folded word with its ends marked, as numbers of ``GRAM`` bytes; a shorter word is one run."""
     held = f"<{word}>".encode()
-    return [zlib.crc32(held[k : k + GRAM]) & (SPACE - 1) for k in range(max(1, len(held) - GRAM + 1))]
+    return [int.from_bytes(held[k : k + GRAM]) for k in range(max(1, len(held) - GRAM + 1))]
 
 
 def held_out():
@@ -60,13 +58,26 @@ def _present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
         for text in batch.column(1):
             words = set(LETTERS.findall((text.as_py() or "").lower()))
-            own = np.unique(np.array([g for w in words for g in grams(w)], np.uint32)) if words else np.zeros(0, np.uint32)
-            found.append(own.astype("<u4").tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(2)], ["positive", "grams", "doc_id"])
+            found.append(np.unique(np.array([g for w in words for g in grams(w)], np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64())), batch.column(2)], ["positive", "grams", "doc_id"])
 
 
-def sample(docs: DataFrame, labels: DataFrame, positive: int, unlabelled: int) -> tuple[list[np.ndarray], list[np.ndarray], float]:
-    """Gram sets of the positive and the unlabelled sample, and the prior; at most ``positive + unlabelled`` rows travel."""
+def _sparse(batches: Iterator[pa.RecordBatch], chosen: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        held = [np.intersect1d(own.values.to_numpy(), chosen, assume_unique=True).tobytes() for own in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary())], ["positive", "grams"])
+
+
+def telling(counts: DataFrame, positive: int, unlabelled: int, features: int) -> DataFrame:
+    """The most telling grams of ``counts(gram, p, u)``: in how many of ``positive`` and ``unlabelled`` texts each is."""
+    # A gram of the positive class alone is 1 / prior times as common among positives; one of its language, once to twice.
+    lift = (F.col("p") / positive + 0.5 / positive) / (F.col("u") / unlabelled + 0.5 / unlabelled + 1e-4)
+    gains = counts.where(F.col("p") >= max(3, 0.004 * positive)).withColumn("lift", lift).where(F.col("lift") >= LIFT)
+    return gains.withColumn("gain", F.col("p") / positive * F.log("lift")).orderBy(F.desc("gain"), "gram").limit(features).select("gram")
+
+
+def sample(docs: DataFrame, labels: DataFrame, positive: int, unlabelled: int, features: int = FEATURES) -> tuple[list[np.ndarray], list[np.ndarray], float]:
+    """The telling grams in each row of the positive and the unlabelled sample, and the prior; at most ``positive + unlabelled`` rows travel."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull() & ~held_out())
     rows = ids.distinct().join(known, "doc_id", "left").withColumn("order", F.xxhash64("doc_id"))
@@ -76,38 +87,32 @@ def sample(docs: DataFrame, labels: DataFrame, positive: int, unlabelled: int) -
         .unionByName(rows.orderBy("order", "doc_id").limit(unlabelled).select("doc_id", F.lit(False).alias("positive")))
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most positive + unlabelled ids
-    grams_ = texts.select("positive", "text", "doc_id").mapInArrow(_present, "positive boolean, grams binary, doc_id long")
-    found = grams_.groupBy("positive", "doc_id").agg(F.min("grams").alias("grams")).toArrow()  # rows that repeat a doc_id are one row of the sample
+    grams_ = texts.select("positive", "text", "doc_id").mapInArrow(_present, "positive boolean, grams array<long>, doc_id long")
+    held = written(grams_.groupBy("positive", "doc_id").agg(F.min("grams").alias("grams")), "toxicity-sample")  # rows that repeat a doc_id are one row of the sample
+    n_p, n_u = (held.where(x).count() for x in ("positive", "not positive"))
+    found = np.zeros(0, np.int64)
+    if n_p and n_u:
+        each = held.select("positive", F.explode("grams").alias("gram"))
+        counts = each.groupBy("gram").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u"))
+        found = np.sort(telling(counts, n_p, n_u, features).toArrow().column("gram").to_numpy())
     p, u = [], []
-    for is_positive, own in zip(found.column("positive").to_pylist(), chain.from_iterable(x for x in found.column("grams").chunks), strict=True):
-        (p if is_positive else u).append(np.frombuffer(own.as_buffer(), "<u4"))  # views of the one table
+    sparse = held.select("positive", "grams").mapInArrow(lambda x: _sparse(x, found), "positive boolean, grams binary").toArrow()
+    for is_positive, own in zip(*(sparse.column(x).to_pylist() for x in ("positive", "grams")), strict=True):
+        (p if is_positive else u).append(np.frombuffer(own, np.int64))
     return p, u, prior
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, features: int = FEATURES, steps: int = 300, rate: float = 0.05) -> Model:
-    """Weights by Adam on the non-negative risk; rows in a set order, so reruns agree."""
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 300, rate: float = 0.05) -> Model:
+    """Weights by Adam on the non-negative risk, for each gram that a row holds; rows in a set order, so reruns agree."""
     if not positive or not unlabelled or not 0 < prior < 1:
         return Model({}, float("-inf"))
     positive, unlabelled = (sorted(x, key=lambda y: y.tobytes()) for x in (positive, unlabelled))
-    counts = [np.zeros(SPACE, np.int32) for _ in range(2)]
-    for total, rows in zip(counts, (positive, unlabelled), strict=True):
-        for own in rows:  # each gram once a row
-            total[own] += 1
-    share = [c / len(x) for c, x in zip(counts, (positive, unlabelled), strict=True)]
-    # A gram of the positive class alone is 1 / prior times as common among positives; one of its language, once to twice.
-    lift = (share[0] + 0.5 / len(positive)) / (share[1] + 0.5 / len(unlabelled) + 1e-4)
-    telling = (counts[0] >= max(3, 0.004 * len(positive))) & (lift >= LIFT)
-    gain = np.where(telling, share[0] * np.log(np.maximum(lift, 1)), 0)
-    chosen = np.argsort(-gain, kind="stable")[:features]
-    chosen = chosen[gain[chosen] > 0]
-    place = np.full(SPACE, -1)
-    place[chosen] = np.arange(len(chosen))
+    chosen = np.unique(np.concatenate([*positive, *unlabelled]))
 
     def matrix(rows: list[np.ndarray]) -> np.ndarray:
         out = np.zeros((len(rows), len(chosen)), np.float32)
         for k, own in enumerate(rows):
-            at = place[own]
-            out[k, at[at >= 0]] = 1
+            out[k, np.searchsorted(chosen, own)] = 1
         return out
 
     p, u, decay = matrix(positive), matrix(unlabelled), 1e-5

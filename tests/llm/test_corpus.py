@@ -193,6 +193,20 @@ def test_toxicity_sample_is_bounded_under_repeated_ids(spark):
     assert (len(positive), len(unlabelled), prior) == (1, 50, 0.5)
 
 
+def test_toxicity_of_long_clean_texts_of_unseen_words(spark):
+    draw = random.Random(5)
+    word = lambda letters, n: "".join(draw.choice(letters) for _ in range(n))
+    common, toxic = ([word("abcdefghijklmnopqrstuvwxyz", 7) for _ in range(n)] for n in (2_000, 60))
+    rows = [(k, " ".join(draw.sample(common, 40) + (draw.sample(toxic, 8) if k % 5 == 0 else []))) for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.trained(docs, spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(900)], "doc_id long, toxic int"))
+    known = toxicity.WordFeatures(model)
+    signs = [chr(x) for x in range(0x4E00, 0x9FA5)]
+    assert toxicity.score(" ".join(draw.sample(toxic, 8)), known) >= toxicity.THRESHOLD
+    unseen = toxicity.score("漢", known)
+    assert all(toxicity.score(" ".join(word(signs, 4) for _ in range(20_000)), known) == unseen < toxicity.THRESHOLD for _ in range(3))
+
+
 def brute_components(rows, words, percent):
     fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}
