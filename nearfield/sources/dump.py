@@ -53,9 +53,10 @@ def scan(spark: SparkSession, path: str, table: str, required: list[str]) -> Dat
     start = lines.where(F.col("value").startswith(f"CREATE TABLE `{table}`")).agg(F.min("line")).head()[0]
     if start is None:
         raise ValueError(f"{path} has no table {table}")
-    header = [r.value for r in lines.where((F.col("line") > start) & (F.col("line") <= start + 500)).orderBy("line").select("value").collect()]
-    end = next((k for k, x in enumerate(header) if x.lstrip().startswith(")")), len(header))
-    names = columns_of(header[:end]) or []
+    after = lines.where(F.col("line") > start)
+    end = after.where(F.col("value").rlike(r"^\s*\)")).agg(F.min("line")).head()[0]
+    header = after.where(F.col("value").rlike(r"^\s*`") & (F.lit(True) if end is None else F.col("line") < end))
+    names = columns_of([r.value for r in header.orderBy("line").select("value").collect()]) or []
     missing = [x for x in required if x not in names]
     if missing:
         raise ValueError(f"table {table} has no column {', '.join(missing)}")

@@ -82,6 +82,16 @@ def test_dump_tuples():
     assert list(dump.tuples(text_)) == [["1", "it's", None, "-3.14"], ["2", "a,(b)", "NULL", "NULLABLE"], ["3", "x\n\\", "", "1"]]
 
 
+def test_dump_header_of_any_length(spark, tmp_path):
+    path = tmp_path / "wide.sql"
+    names = [f"c{k}" for k in range(700)]
+    head = ["-- dump", "CREATE TABLE `geo` (", *[f"  `{x}` int," for x in names], "  PRIMARY KEY (`c0`)", ") ENGINE=InnoDB;", "CREATE TABLE `other` (", "  `later` int", ");"]
+    path.write_text("\n".join([*head, f"INSERT INTO `geo` VALUES ({','.join(map(str, range(700)))});"]) + "\n")
+    assert [(r.c699, r.c0) for r in dump.scan(spark, str(path), "geo", ["c699", "c0"]).collect()] == [("699", "0")]
+    with pytest.raises(ValueError, match="later"):
+        dump.scan(spark, str(path), "geo", ["later"])
+
+
 def test_dump_needs_table_and_columns(spark, tmp_path):
     path = tmp_path / "t.sql.gz"
     path.write_bytes(gzip.compress(b"CREATE TABLE `geo` (\n  `a` int,\n  `b` int\n);\nINSERT INTO `geo` VALUES (1,2),(3,NULL);\n"))
