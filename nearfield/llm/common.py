@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
 
-
 #: Rows and bytes of one Arrow batch: what a task holds outside of the JVM's heap and in Python doesn't grow with the texts.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
@@ -29,11 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, what: str) -> str:
     """A fresh path in the shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests, local mode) one temporary folder serves the whole session.
+    Where the setting is absent, a local master has one temporary folder for the whole session; any other master is an error,
+    since its executors would each write to a disk of their own.
     """
     small_batches(spark)
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _LOCAL:
             _LOCAL.append(tempfile.mkdtemp(prefix="nearfield-"))
         root = _LOCAL[0]
@@ -44,7 +46,16 @@ def written(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there and survives lost executors."""
     path = scratch(df.sparkSession, what)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Delete ``written`` tables that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -5,20 +5,26 @@ Coordinate k of a set is the minimum over its elements x of pi((sigma(x) + k) mo
 that share a band are candidates; every link is confirmed by intersecting the full sets of 64-bit shingle hashes.
 
 Exactness without all pairs of a bucket:
-1. Equal sets are one class (partial aggregate by a 128-bit digest); only its smallest doc_id goes on.
-2. A bucket gives a star: its smallest member beside each other one. Confirmed stars give components.
+1. Equal sets are one class (partial aggregate by a 128-bit digest), a node with a number of its own; only one row of it goes
+   on. Rows are known by doc_id and a 64-bit hash of their text, so rows that share a doc_id keep their own texts and links.
+2. A bucket gives a star: its smallest node beside each other one. Confirmed stars give components.
 3. Buckets that still hold members of several components form clusters. A cluster's members are dealt to classes of set
    size (a link joins neighbouring classes at most) and there to blocks of about ``BLOCK``; blocks meet in pairs, in tasks of
    bounded size that hold the two blocks' full sets. Members of a component larger than a block have blocks of their own,
    which don't meet each other, so a giant group costs no more than the blocks outside of it. Within a task, pairs of
    different components whose signatures agree enough are confirmed on their full sets, and only links that join
    components leave the task, so a group never gives all its pairs. The components are found anew over all links.
-So a link is lost only if no band meets (below 1e-7 at the threshold) or the signature is off by five deviations.
+   Members are counted by partial aggregates, and the counts of a cluster are lent to ``SALTS`` tasks, so no task sees one whole.
+So a link is lost only if no band meets (at the threshold 2e-8 for 56 bands of 8 at 0.85, 3e-7 for 64 of 7 at 0.80) or the
+signature is off by five deviations.
 
 Components: alternating large-star and small-star steps on (node, node) tables, each written to the shared folder; links
-never reach the driver. Defined cases: null or empty text and text without words has an empty set and no links; fewer
-words than a shingle are one shingle; rows with equal doc_id count as one document; rows without doc_id are linked with
-nothing and kept; an empty table gives no rows. A text's set is held by one task. Other columns are not read.
+never reach the driver. Tables are deleted when nothing reads them any more.
+
+Defined cases: null or empty text and text without words has an empty set and no links; fewer words than a shingle are one
+shingle; rows of one doc_id with different texts are documents of their own, each in the component of its own text; rows
+without doc_id are linked with nothing and kept; an empty table gives no rows. A text's set is held by one task. Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -32,9 +38,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import table, written
+from nearfield.llm.common import WORD_CLASS, released, table, written
 
-ROWS, BANDS, TILE, BLOCK, FILTER = 8, 56, 1 << 15, 512, 1 << 24
+ROWS, BANDS, TILE, BLOCK, SALTS = 8, 56, 1 << 15, 512, 32
+#: Least and most bits of the bitmap of candidates.
+FILTER = (1 << 20, 1 << 26)
 #: Pairs in blocks go on if their estimated similarity is at most so far below the threshold.
 MARGIN = 0.10
 
@@ -106,8 +114,8 @@ def _signed(batches: Iterator[pa.RecordBatch], words: int, rows: int, n_bands: i
                 marks.append(None)
                 short.append(None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(marks, pa.list_(pa.int64())), pa.array(short, pa.binary())],
-            ["doc_id", "n_shingles", "key", "bands", "short"],
+            [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(marks, pa.list_(pa.int64())), pa.array(short, pa.binary())],
+            ["doc_id", "mark", "n_shingles", "key", "bands", "short"],
         )
 
 
@@ -178,39 +186,48 @@ def block_links(members: DataFrame, percent: int) -> DataFrame:
     light = members.select("cluster", "node", "component", size_class.alias("own"))
     # A member is the lower kind in its own class and the higher kind in the class below; classes without lower kinds are empty.
     dealt = light.withColumn("class", F.explode(F.array(F.col("own"), F.col("own") - 1))).withColumn("lower", F.col("class") == F.col("own")).drop("own")
-    group = ["cluster", "class"]
-    dealt = dealt.join(dealt.where("lower").select(*group).distinct(), group, "left_semi")
-    sizes = dealt.groupBy(*group, "component").agg(F.count("*").alias("size"))
-    pooled = sizes.groupBy(*group).agg(F.sum(F.when(F.col("size") <= BLOCK, F.col("size")).otherwise(0)).alias("pool"), F.count("*").alias("several")).where("several > 1")
-    big = F.col("size") > BLOCK
-    n_blocks = F.ceil(F.when(big, F.col("size")).otherwise(F.col("pool")) / BLOCK)
-    placed = dealt.join(sizes, [*group, "component"]).join(pooled, group).withColumn("number", F.pmod(F.xxhash64("node"), n_blocks))
-    placed = written(placed.select(*group, "node", "component", "lower", F.when(big, F.col("component")).alias("owner"), "number"), "blocks")
+    group, big = ["cluster", "class"], F.col("size") > BLOCK
+    sizes = written(dealt.groupBy(*group, "component").agg(F.count("*").alias("size"), F.max("lower").alias("lower")), "sizes")
+    pooled = sizes.groupBy(*group).agg(F.sum(F.when(big, 0).otherwise(F.col("size"))).alias("pool"), F.count("*").alias("several"), F.max("lower").alias("lower"))
+    pooled = pooled.where("several > 1 and lower").select(*group, "pool")
+    owners = sizes.where(big).select(*group, F.col("component").alias("owner"), "size")  # a row for BLOCK members at least
+    salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = dealt.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    spread = spread.join(salted(pooled), [*group, "salt"])
+    lent = salted(owners).withColumnRenamed("owner", "component").withColumn("owner", F.col("component"))
+    spread = spread.join(lent, [*group, "component", "salt"], "left")
+    n_blocks = F.ceil(F.coalesce("size", "pool") / BLOCK)
+    placed = spread.withColumn("number", F.pmod(F.xxhash64("node", F.lit(1)), n_blocks))
+    laid = written(placed.select(*group, "salt", "node", "component", "lower", "owner", "number"), "blocks")
     name = F.concat(F.coalesce(F.concat(F.lit("c"), F.col("owner")), F.lit("m")), F.lit("-"), F.col("number"))
-    placed = placed.withColumn("block", name)
+    placed = laid.withColumn("block", name)
     blocks = placed.select(*group, "owner", "block").distinct()
     mixed, owned = blocks.where("owner is null").drop("owner").withColumnRenamed("block", "other"), blocks.where("owner is not null").withColumnRenamed("block", "other")
     others = owned.select(*group, F.col("owner").alias("of")).distinct()
-    to_mixed = placed.join(mixed, group)
-    from_mixed = placed.where("owner is null").join(owned.drop("owner"), group)
-    between = placed.where("owner is not null").join(others, group).where("owner <> of").join(owned.withColumnRenamed("owner", "of"), [*group, "of"]).drop("of")
+    spot = [*group, "salt"]
+    to_mixed = placed.join(salted(mixed), spot)
+    from_mixed = placed.where("owner is null").join(salted(owned.drop("owner")), spot)
+    between = placed.where("owner is not null").join(salted(others), spot).where("owner <> of").join(salted(owned.withColumnRenamed("owner", "of")), [*spot, "of"]).drop("of")
     met = to_mixed.unionByName(from_mixed).unionByName(between)
     pairs = met.select(*group, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "component", "lower")
     full = pairs.join(members.select("node", "short", "elements"), "node")
     key = [*group, "low", "high"]
     ordered = full.repartition(*key).sortWithinPartitions(*key, "block", "node").select(*key, "block", "node", "component", "lower", "short", "elements")
-    return ordered.mapInArrow(lambda x: _block_links(x, percent), "a long, b long").distinct()
+    out = written(ordered.mapInArrow(lambda x: _block_links(x, percent), "a long, b long").distinct(), "joined")
+    released(sizes, laid)
+    return out
 
 
-def marked_ids(ids: DataFrame) -> bytes:
-    """A bitmap of ``FILTER`` bits in which the hash of every doc_id is set; a filter that passes all of them and few others.
+def marked_rows(rows: DataFrame) -> bytes:
+    """A bitmap in which the hash of every row's doc_id and mark is set: a filter that passes all of them and few others.
 
-    At most FILTER / 64 rows reach the driver. With more ids than bits it passes more rows, which a join then removes.
+    It has 16 bits a row within ``FILTER``, so FILTER / 64 words at most reach the driver. With more rows it passes more, which
+    the join that follows removes.
     """
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER))
-    words = ids.select(spot.alias("spot")).groupBy(F.expr("spot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(spot % 64 as int)))").alias("bits"))
+    size = min(FILTER[1], max(FILTER[0], 1 << (16 * rows.count()).bit_length()))
+    words = rows.select(F.pmod(F.xxhash64("doc_id", "mark"), F.lit(size)).alias("spot")).groupBy(F.expr("spot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(spot % 64 as int)))").alias("bits"))
     table_ = words.toArrow()
-    out = np.zeros(FILTER // 64, np.int64)
+    out = np.zeros(size // 64, np.int64)
     out[table_.column("word").to_numpy()] = table_.column("bits").to_numpy()
     return out.tobytes()
 
@@ -244,56 +261,97 @@ def components(links: DataFrame) -> DataFrame:
         # Small star: a node and its smaller neighbours take the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v")).distinct()
-        edges = written(small, "links")
+        before, edges = edges, written(small, "links")
+        released(before)
         row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % (1 << 31)).alias("h")).head()
         if mark == (row.n, row.h):
             break
         mark = (row.n, row.h)
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out._scratch = edges._scratch
+    return out
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: int = ROWS, n_bands: int = BANDS) -> DataFrame:
-    """A row a row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, kept."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = written(texts.mapInArrow(lambda x: _signed(x, words, rows, n_bands), "doc_id long, n_shingles long, key binary, bands array<long>, short binary"), "signatures")
-    named = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = named.groupBy("key").agg(F.min("doc_id").alias("node"))
-    marks = named.select("key", F.col("doc_id").alias("node"), "bands", "short").join(classes, ["key", "node"]).drop("key")
-    marks = written(marks, "marks")
+def text_mark(text: str = "text"):
+    """64 bits of a text, null as empty."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
+def labelled(docs: DataFrame, words: int, percent: int, rows: int, n_bands: int) -> DataFrame:
+    """A row a row of ``docs(doc_id, text)``: doc_id, mark, n_shingles, component_id and component_mark, the least pair of its
+    component; both null for rows without doc_id, the row's own for empty sets."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_mark().alias("mark"))
+    signed = written(texts.mapInArrow(lambda x: _signed(x, words, rows, n_bands), "doc_id long, mark long, n_shingles long, key binary, bands array<long>, short binary"), "signatures")
+    named = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    # Equal sets have equal bands. The numbers are fixed once the table is written.
+    classes = signed.where(named).groupBy("key").agg(F.min(F.struct("doc_id", "mark")).alias("row"), F.first("bands").alias("bands"), F.first("short").alias("short"))
+    marks = written(classes.select("key", "row.doc_id", "row.mark", "bands", "short", F.monotonically_increasing_id().alias("node")), "marks")
     members = marks.select("node", F.explode("bands").alias("band"))
     shared = written(members.groupBy("band").agg(F.min("node").alias("center"), F.count("*").alias("n")).where("n > 1"), "buckets")
     met = written(members.join(shared, "band"), "met")
     stars = written(met.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), "stars")
 
-    nodes = stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).distinct()
-    held = marked_ids(nodes)
-    spotted = texts.where("doc_id is not null").withColumn("spot", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER)))
-    near = spotted.mapInArrow(lambda x: _among(x, held), "doc_id long, text string, spot long").drop("spot")
-    sets = near.join(nodes, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(lambda x: _sets(x, words), "node long, elements array<long>")
-    sets = written(sets, "sets")
+    nodes = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
+    nodes = written(nodes.join(marks.select("node", "doc_id", "mark"), "node"), "nodes")
+    held = marked_rows(nodes)
+    spotted = texts.where("doc_id is not null").withColumn("spot", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(8 * len(held))))
+    near = spotted.mapInArrow(lambda x: _among(x, held), "doc_id long, text string, mark long, spot long")
+    near = near.groupBy("doc_id", "mark").agg(F.first("text").alias("text"))  # repeated rows meet before they are sent
+    sets = written(near.join(nodes, ["doc_id", "mark"]).select("node", "text").mapInArrow(lambda x: _sets(x, words), "node long, elements array<long>"), "sets")
     first = written(confirmed(stars, sets, percent), "confirmed")
+    released(shared, stars, nodes)
     found = components(first)
     # Buckets with several components after the stars, and the clusters that they form.
-    labelled = met.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = labelled.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
-    rest = written(labelled.join(open_, "band", "left_semi").select("node", "center", "component"), "rest")
+    placed = met.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_ = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
+    rest = written(placed.join(open_, "band", "left_semi").select("node", "center", "component"), "rest")
+    released(met)
     if not rest.isEmpty():
-        clusters = components(rest.select(F.col("node").alias("a"), F.col("center").alias("b"))).withColumnRenamed("component", "cluster")
-        members = rest.select("node", "component").distinct().join(clusters, "node").join(marks.select("node", "short").dropDuplicates(["node"]), "node").join(sets, "node")
-        second = written(block_links(written(members, "members"), percent), "joined")
+        clusters = components(rest.select(F.col("node").alias("a"), F.col("center").alias("b")))
+        members = rest.select("node", "component").distinct().join(clusters.withColumnRenamed("component", "cluster"), "node").join(marks.select("node", "short"), "node").join(sets, "node")
+        members = written(members, "members")
+        second = block_links(members, percent)
         if not second.isEmpty():
+            released(found)
             found = components(first.unionByName(second))
-    placed = signed.select("doc_id", "n_shingles", "key").join(classes, "key", "left").join(found, "node", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
-    out = placed.select("doc_id", "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        released(clusters, members, second)
+    released(rest, sets, first)
+    own = F.struct("doc_id", "mark")
+    linked = found.join(marks.select("node", "doc_id", "mark"), "node").select("node", "component", own.alias("row"))
+    linked = linked.join(linked.groupBy("component").agg(F.min("row").alias("least")), "component").select("node", "least")
+    label = marks.select("key", "node", own.alias("row")).join(linked, "node", "left").select("key", F.coalesce("least", "row").alias("least"))
+    columns = ["doc_id", "mark", "n_shingles"]
+    with_set = signed.where(named).select(*columns, "key").join(label, "key").select(*columns, F.col("least.doc_id").alias("component_id"), F.col("least.mark").alias("component_mark"))
+    alone = signed.where(~named).select(*columns, F.col("doc_id").alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.col("mark")).alias("component_mark"))
+    return with_set.unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: int = ROWS, n_bands: int = BANDS) -> DataFrame:
+    """A row a row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, kept."""
+    out = labelled(docs, words, percent, rows, n_bands)
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80, rows: int = 7, n_bands: int = 64) -> DataFrame:
-    """``docs`` with one document of each component (the smallest doc_id) and one row of repeated doc_ids; columns stay."""
-    kept = near_duplicates(docs, words, percent, rows, n_bands).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.join(kept, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    """``docs`` with one row of each component: the least doc_id, then the least hash of the text; columns stay.
+
+    Rows without doc_id or words are in no component and stay. Rows alike in doc_id and text are one; which of their other
+    columns stay is settled by the least JSON form.
+    """
+    least = labelled(docs, words, percent, rows, n_bands).where("n_shingles > 0 and doc_id = component_id and mark = component_mark")
+    kept = written(least.groupBy(F.col("doc_id").alias("__nf_kept"), F.col("mark").alias("__nf_as")).agg(F.count("*").alias("__nf_n")), "kept")
+    in_component = F.col("doc_id").cast("long").isNotNull() & F.coalesce(F.col("text").cast("string").rlike(WORD_CLASS), F.lit(False))
+    keyed = docs.where(in_component).withColumns({"__nf_id": F.col("doc_id").cast("long"), "__nf_mark": text_mark()})
+    same = (F.col("__nf_id") == F.col("__nf_kept")) & (F.col("__nf_mark") == F.col("__nf_as"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    out = docs.where(~in_component)
+    out = out.unionByName(keyed.join(kept.where("__nf_n = 1"), same, "left_semi").select(*columns))
+    repeated = kept.where("__nf_n > 1")
+    if not repeated.isEmpty():
+        whole = F.struct(*columns)
+        rows_ = keyed.select("__nf_id", "__nf_mark", whole.alias("__nf_row")).groupBy("__nf_id", "__nf_mark").agg(F.min_by("__nf_row", F.to_json("__nf_row")).alias("__nf_row"))
+        out = out.unionByName(rows_.join(repeated, same, "left_semi").select("__nf_row.*"))
+    return out
 
 
 def op6_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -207,27 +207,41 @@ def test_toxicity_of_long_clean_texts_of_unseen_words(spark):
     assert all(toxicity.score(" ".join(word(signs, 4) for _ in range(20_000)), known) == unseen < toxicity.THRESHOLD for _ in range(3))
 
 
-def brute_components(rows, words, percent):
+def brute_sets(rows, words):
     fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    sets = {}
     for doc_id, text in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(fold))
-        sets[doc_id] = {tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set()
-    root = {k: k for k in sets}
+        yield doc_id, {tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set()
+
+
+def brute_rows(rows, words, percent):
+    """(doc_id, n_shingles, component_id) of each row, rows of one doc_id apart; and how many pairs of rows are linked."""
+    sets = list(brute_sets(rows, words))
+    root, holders, shared = list(range(len(sets))), defaultdict(list), defaultdict(int)
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    keys = sorted(sets)
-    for i, a in enumerate(keys):
-        for b in keys[:i]:
-            x, y = sets[a], sets[b]
-            if x and y and 100 * len(x & y) >= percent * len(x | y):
-                p, q = find(a), find(b)
-                root[max(p, q)] = min(p, q)
-    return {k: (len(sets[k]), find(k)) for k in keys}
+    for k, (doc_id, own) in enumerate(sets):
+        for x in own if doc_id is not None else ():
+            for j in holders[x]:
+                shared[j, k] += 1
+            holders[x].append(k)
+    links = [(a, b) for (a, b), n in shared.items() if 100 * n >= percent * (len(sets[a][1]) + len(sets[b][1]) - n)]
+    for a, b in links:
+        p, q = find(a), find(b)
+        root[max(p, q)] = min(p, q)
+    least = {}
+    for k, (doc_id, _) in enumerate(sets):
+        if doc_id is not None:
+            least[find(k)] = min(doc_id, least.get(find(k), doc_id))
+    return [(doc_id, len(own), least.get(find(k))) for k, (doc_id, own) in enumerate(sets)], len(links)
+
+
+def brute_components(rows, words, percent):
+    return {doc_id: (n, c) for doc_id, n, c in brute_rows(rows, words, percent)[0]}
 
 
 @pytest.mark.parametrize(("words", "percent", "rows", "n_bands"), [(3, 85, 8, 56), (5, 80, 7, 64)])
@@ -276,6 +290,41 @@ def test_block_links_with_giant_components(spark, monkeypatch):
         assert find(k) == find(c)
 
 
+ORDER = lambda x: tuple((v is not None, v) if v is not None else (False, 0) for v in x)
+
+
+def test_near_duplicates_of_hard_rows(spark, docs):
+    """Null ids, repeated ids with other texts, empty tables: each row has the component of its own text."""
+    long = " ".join(f"w{k}" for k in range(300))
+    more = [(7, long), (7, "quite another text of its own"), (3, long + " end"), (None, long), (50, "w0"), (50, long), (-4, "quite another text of its own"), (50, long)]
+    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    rows = [(r.doc_id, r.text) for r in table.collect()]
+    want, _ = brute_rows(rows, 3, 85)
+    got = near_dup.near_duplicates(table, 3, 85).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=ORDER) == sorted(want, key=ORDER)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+    assert near_dup.near_duplicates(empty(docs)).count() == 0
+    # One row of each component stays, and every row without id or words.
+    kept = [(r.doc_id, r.text) for r in near_dup.deduplicated(table, 3, 85).collect()]
+    assert sum(d is None for d, _ in kept) == 2 and sum(not (t or "").split() for _, t in kept) == 3
+    linked = [(d, t) for d, t in kept if d is not None and (t or "").split()]
+    assert brute_rows(linked, 3, 85)[1] == 0  # nothing alike is left
+    every = {frozenset(x) for d, x in brute_sets(rows, 3) if d is not None and x}
+    held = [x for _, x in brute_sets(linked, 3)]
+    assert all(any(100 * len(x & y) >= 85 * len(x | y) for y in held) for x in every)  # and nothing is lost
+    assert {(3, long + " end"), (-4, "quite another text of its own"), (50, "w0")} <= set(linked) and {(50, long), (7, long)}.isdisjoint(linked)
+
+
+def test_recall_of_the_two_settings(spark):
+    """Every link of the documents at sf0.01 by brute force, under the settings of the query and of the pipeline."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    for words, percent, n_rows, n_bands in ((3, 85, 8, 56), (5, 80, 7, 64)):
+        want, links = brute_rows(rows, words, percent)
+        got = near_dup.near_duplicates(docs, words, percent, n_rows, n_bands).collect()
+        assert links > 50 and sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(want)
+
+
 def test_deduplicated_keeps_one_and_the_columns(docs):
     out = near_dup.deduplicated(docs)
     assert out.columns == docs.columns
