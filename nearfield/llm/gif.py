@@ -188,7 +188,14 @@ def write(width: int, height: int, frames: list[Frame], palette: np.ndarray, com
 
 
 def read(data: bytes) -> Picture:
-    """Parse a GIF file; frames keep their own rectangle, palette, delay, disposal and transparency."""
+    """Parse a GIF file; frames keep their own rectangle, palette, delay, disposal and transparency. ValueError for damage."""
+    try:
+        return _parsed(data)
+    except IndexError as error:
+        raise ValueError("the file ends inside a block") from error
+
+
+def _parsed(data: bytes) -> Picture:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("this is no GIF file")
     number = lambda k: int.from_bytes(data[k : k + 2], "little")

@@ -2,7 +2,9 @@
 
 A notice within ``errors`` edits of a phrase holds one of ``errors + 1`` pieces of the phrase unchanged. One Aho-Corasick
 pass over the folded words of a text (joined by single blanks) finds those pieces; around each, the regex library's
-bounded-error matching decides, between word ends, how many edits the text needs and where the notice stands.
+bounded-error matching decides for each run of whole words within reach how many edits it needs. Where a run has as many
+words as the phrase, each word may have one edit in ``LETTERS`` letters: short names such as mit or bsd stand unedited, since
+other words are a single edit away. Where blanks came or went, the short words of the phrase must be there.
 
 Every row is independent: no shuffle; a text is held whole by one task. Defined cases: null text is empty; a text without
 words has no spans; spans of one phrase that overlap are one, the best; repeated rows repeat; an empty table gives no
@@ -36,6 +38,7 @@ MORE = {
 }
 #: Bytes that belong to no word, as blanks.
 FOLD = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
+LETTERS = 5
 ROW = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 SPANS = "doc_id long, label string, phrase string, first_word long, n_words long, edits int, found string"
 
@@ -45,6 +48,25 @@ def edits(phrase: str) -> int:
     return len(phrase) // 10
 
 
+def distance(a: str, b: str) -> int:
+    """Edit distance of two words."""
+    last = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        now = [i]
+        for j, y in enumerate(b, 1):
+            now.append(min(last[j] + 1, now[-1] + 1, last[j - 1] + (x != y)))
+        last = now
+    return last[-1]
+
+
+def alike(found: str, phrase: str) -> bool:
+    """No word of the phrase is edited beyond one edit in ``LETTERS`` letters."""
+    here, there = found.split(" "), phrase.split(" ")
+    if len(here) == len(there):
+        return all(x == y or distance(x, y) <= len(y) // LETTERS for x, y in zip(here, there, strict=True))
+    return all(x in here for x in there if len(x) < LETTERS)
+
+
 @cache
 def search():
     """The automaton: piece -> [(phrase, label, offset of the piece, errors, pattern)]."""
@@ -54,7 +76,7 @@ def search():
     held: dict[str, list] = {}
     for phrase, label in (BASE | MORE).items():
         errors = edits(phrase)
-        pattern = regex.compile(f"(?b)(?<= )(?:{regex.escape(phrase, literal_spaces=True)}){{e<={errors}}}(?= )") if errors else None
+        pattern = regex.compile(f"(?b)(?:{regex.escape(phrase, literal_spaces=True)}){{e<={errors}}}") if errors else None
         cuts = [len(phrase) * k // (errors + 1) for k in range(errors + 2)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             held.setdefault(phrase[a:b], []).append((phrase, label, a, errors, pattern))
@@ -81,15 +103,20 @@ def spans(joined: str) -> list[tuple[int, int, str, str, int]]:
             if start >= 1 and joined.startswith(phrase, start) and joined[start - 1] == " " and joined[start + len(phrase) : start + len(phrase) + 1] == " ":
                 found[phrase, start] = (start, start + len(phrase), phrase, label, 0)
             elif pattern is not None:
-                low, high = max(0, start - errors - 1), start + len(phrase) + errors + 1
                 if tried.get(phrase) == start:
                     continue
                 tried[phrase] = start
-                if match := pattern.search(joined, low, min(high, len(joined))):
-                    n = sum(match.fuzzy_counts)
-                    old = found.get((phrase, match.start()))
-                    if old is None or n < old[4]:
-                        found[phrase, match.start()] = (match.start(), match.end(), phrase, label, n)
+                until_ = start + len(phrase)
+                ends = [b for b in range(max(0, until_ - errors), min(len(joined) - 1, until_ + errors) + 1) if joined[b] == " " and joined[b - 1] != " "]
+                for a in range(max(1, start - errors), min(len(joined) - 1, start + errors + 1)):
+                    if joined[a - 1] == " " and joined[a] != " ":
+                        for b in ends:
+                            match = pattern.fullmatch(joined, a, b) if a < b else None
+                            if match and alike(match[0], phrase):
+                                n = sum(match.fuzzy_counts)
+                                old = found.get((phrase, a))
+                                if old is None or n < old[4]:
+                                    found[phrase, a] = (a, b, phrase, label, n)
     best: list[tuple[int, int, str, str, int]] = []
     until: dict[str, int] = {}
     for span in sorted(found.values(), key=lambda x: (x[2], x[0])):

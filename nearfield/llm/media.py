@@ -41,6 +41,8 @@ def as_gif(data: bytes) -> bytes:
 def from_gif(media: bytes) -> tuple[bytes, int]:
     """The padded bytes that a file of ``as_gif`` shows, and the unpadded length."""
     picture = gif.read(media)
+    if not picture.comments:
+        raise ValueError("the file doesn't tell how many bytes it holds")
     samples = b"".join([np.ascontiguousarray(f.rgb()[:, :, 0]).tobytes() for f in picture.frames])
     return samples, int(picture.comments[0].removeprefix(b"bytes="))
 

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.common import WORD_CLASS, released, table, written
 
-ROWS, BANDS, TILE, BLOCK, SALTS = 8, 56, 1 << 15, 512, 32
+ROWS, BANDS, TILE, BLOCK, SALTS, HOT = 8, 56, 1 << 15, 512, 16, 10_000
 #: Least and most bits of the bitmap of candidates.
 FILTER = (1 << 20, 1 << 26)
 #: Pairs in blocks go on if their estimated similarity is at most so far below the threshold.
@@ -249,18 +249,29 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where((F.least(n, m) * 100 >= F.greatest(n, m) * percent)).where(shared * 100 >= (n + m - shared) * percent).select("a", "b").distinct()
 
 
+def _with_least(rows: DataFrame, n: int) -> DataFrame:
+    """Each of ``n`` ``rows(u, v)`` with ``m``, the least v of its u. Nodes with more than a ``HOT``-th of the rows are lent to
+    every task (``HOT`` of them at most: they are broadcast), so no task takes all rows of a hot node."""
+    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    limit = max(1000, n // HOT)
+    if n <= limit:
+        return rows.join(least.drop("n"), "u")
+    hot = F.broadcast(least.where(F.col("n") > limit).select("u", "m"))
+    return rows.join(hot, "u").unionByName(rows.join(hot, "u", "left_anti").join(least.where(F.col("n") <= limit).drop("n"), "u"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of ``links(a, b)``; component is the smallest node reachable."""
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    mark = None
+    mark = (edges.count(), None)
     while True:
         # Large star: each larger neighbour of a node takes the smallest node of its neighbourhood.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _with_least(both, 2 * mark[0]).withColumn("m", F.least("u", "m"))
+        large = large.where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: a node and its smaller neighbours take the smallest of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v")).distinct()
+        small = _with_least(large, 2 * mark[0]).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = small.unionByName(large.groupBy("u").agg(F.min("v").alias("v"))).distinct()
         before, edges = edges, written(small, "links")
         released(before)
         row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % (1 << 31)).alias("h")).head()

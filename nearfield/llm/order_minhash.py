@@ -4,13 +4,15 @@ A text's k-mers (runs of ``K`` code points) are numbered by occurrence, so all a
 hash functions the ``TUPLE`` numbered k-mers of least hash are selected, put back into text order and hashed together.
 The likeness of two fingerprints is the share of equal coordinates; a shift of a passage changes tuples as an edit does.
 
-``edited_pairs`` compares each document with an edited form of it and with its successor. Plan: documents go once to
-shards by ranges of doc_id (bounds: one approximate quantile a shard), the head of each shard also to the shard before;
-each shard is read in order with one document of look-ahead. Nothing else is shuffled.
+``edited_pairs`` compares each document with an edited form of it and with its successor. Plan: one range shuffle of the
+texts by doc_id, hash of the text and a running number, so neither a repeated doc_id nor repeated rows are one task; every
+partition is read in order with one document of look-ahead and written with its first and last document; then the last
+of each partition meets the first of the next (two rows a partition). The plan doesn't grow with the partitions.
 
 Defined cases: null text is empty; a text shorter than ``K`` is one k-mer, the empty one included; with fewer k-mers than
-``TUPLE`` all are taken. Order: doc_id descending, nulls last, then text; a null doc_id is a row like any other. Repeated
-rows succeed each other. A single row succeeds itself. An empty table gives no rows; other columns are not read.
+``TUPLE`` all are taken. Order: doc_id descending, nulls last, then the hash of the text; a null doc_id is a row like any
+other. Repeated rows succeed each other. A single row succeeds itself. An empty table gives no rows; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -20,15 +22,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import partitions, table
+from nearfield.llm.common import partitions, table, written
 
 K, COORDINATES, TUPLE = 5, 32, 2
 TILE = 1 << 17
 PAIRS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
+#: Rows of one partition: pairs (kind 0), its first document (1) and its last (2).
+PARTS = "part int, kind int, text string, " + PAIRS
+
 _DRAW = np.random.default_rng(20_240_601)
 POWERS = _DRAW.integers(1, 1 << 63, 64, np.uint64) | np.uint64(1)
 FIRST = _DRAW.integers(1, 1 << 32, 4096, np.uint32) | np.uint32(1)
@@ -116,49 +122,54 @@ def _plain(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def _in_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-    now, rows, done = None, [], False
+TYPES = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+
+
+def _pair(doc_id, text: str, mark: np.ndarray, following: str, next_mark: np.ndarray) -> tuple:
+    other = edited(text, following)
+    other_mark = sketch(other)
+    return doc_id, len(text), hashlib.sha256(other.encode()).hexdigest(), mark.tobytes().hex(), other_mark.tobytes().hex(), likeness(mark, other_mark), likeness(mark, next_mark)
+
+
+def _batch(rows: list[tuple], types: tuple, schema: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], schema.replace(",", "").split()[::2])
+
+
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part, now, types = TaskContext.get().partitionId(), None, (pa.int32(), pa.int32(), pa.string(), *TYPES)
+    edge = lambda kind, doc_id, text: (part, kind, text, doc_id, *[None] * 6)
+    for batch in batches:
+        rows = []
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            following = (doc_id, text.as_py(), sketch(text.as_py()))
+            rows.append((part, 0, None, *_pair(*now, *following[1:])) if now else edge(1, *following[:2]))
+            now = following
+        if rows:
+            yield _batch(rows, types, PARTS)
+    if now:
+        yield _batch([edge(2, *now[:2])], types, PARTS)
 
-    def take(doc_id, text: str) -> None:
-        nonlocal now
-        mark = sketch(text)
-        if now is not None:
-            own_id, own, own_mark = now
-            other = edited(own, text)
-            other_mark = sketch(other)
-            rows.append((own_id, len(own), hashlib.sha256(other.encode()).hexdigest(), own_mark.tobytes().hex(), other_mark.tobytes().hex(), likeness(own_mark, other_mark), likeness(own_mark, mark)))
-        now = (doc_id, text, mark)
 
+def _at_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for extra, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            if not done:
-                take(doc_id, text.as_py())
-                done = extra  # the first row of the shard after this one ends it
+        rows = [_pair(doc_id, text, sketch(text), following, sketch(following)) for doc_id, text, following in zip(*[x.to_pylist() for x in batch.columns], strict=True)]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], PAIRS.replace(",", "").split()[::2])
-            rows.clear()
+            yield _batch(rows, TYPES, PAIRS)
 
 
 def edited_pairs(docs: DataFrame, shards: int) -> DataFrame:
     """Each document's fingerprint beside its edited text's and its successor's."""
-    rows = _plain(docs).withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    quantiles = rows.agg(F.percentile_approx("key", [k / shards for k in range(1, shards)] or [0.5], 10_000).alias("q")).head().q
-    bounds = sorted(set(quantiles or []), reverse=True)
-    above = F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in bounds]), lambda x: x > F.col("key"))) if bounds else F.lit(0)
-    placed = rows.withColumn("shard", above.cast("int"))
-    heads = sorted(placed.groupBy("shard").agg(F.max("key").alias("head")).collect())  # one row a shard
-    if not heads:
-        return docs.sparkSession.createDataFrame([], PAIRS)
-    before = F.create_map(*[F.lit(x) for k, row in enumerate(heads) for x in (row.head, heads[k - 1].shard)])
-    own = F.struct(F.col("shard").alias("to"), F.lit(False).alias("extra"))
-    lent = F.struct(F.element_at(before, F.col("key")).alias("to"), F.lit(True).alias("extra"))
-    sent = placed.select("doc_id", "key", "text", F.explode(F.when(F.element_at(before, F.col("key")).isNotNull(), F.array(own, lent)).otherwise(F.array(own))).alias("x"))
-    dealt = sent.select("key", "doc_id", "text", F.col("x.to").alias("to"), F.col("x.extra").alias("extra")).repartitionById(len(bounds) + 1, F.col("to"))
-    ordered = dealt.sortWithinPartitions("extra", F.col("key").desc(), F.col("doc_id").desc_nulls_last(), "text")
-    return ordered.select("extra", "doc_id", "text").mapInArrow(_in_pairs, PAIRS)
+    order = [F.col("doc_id").desc_nulls_last(), F.col("mark"), F.col("number")]
+    keyed = _plain(docs).withColumns({"mark": F.xxhash64("text"), "number": F.monotonically_increasing_id()})
+    ranged = keyed.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    rows = written(ranged.mapInArrow(_in_order, PARTS), "omh-pairs")
+    held = sorted(r.part for r in rows.where("kind = 1").select("part").collect())  # one row a partition
+    following = docs.sparkSession.createDataFrame(list(zip(held, held[1:] + held[:1], strict=True)), "part int, following int")
+    first = rows.where("kind = 1").select(F.col("part").alias("following"), F.col("text").alias("next_text"))
+    met = rows.where("kind = 2").select("part", "doc_id", "text").join(following, "part").join(first, "following").select("doc_id", "text", "next_text")
+    return rows.where("kind = 0").drop("part", "kind", "text").unionByName(met.mapInArrow(_at_edges, PAIRS))
 
 
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, 4 shards a shuffle partition's share of tasks at most."""
+    """All documents, in as many ranges as a shuffle has partitions."""
     return edited_pairs(table(spark, sf_dir, "documents"), partitions(spark))

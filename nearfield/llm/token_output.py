@@ -6,7 +6,7 @@ most one row per vocabulary entry, and each block is then coded on its own, in a
 independently; the position of a block is the sum of its shard's and its predecessors' id counts.
 
 Defined cases: a null or empty text holds the end id only; null doc_ids come first; repeated rows are repeated documents
-(ordered by text among equal doc_ids); an empty table gives an empty file; other columns are not read. A document is
+(ordered by a hash of the text among equal doc_ids, and dealt to several shards if there are many); an empty table gives an empty file; other columns are not read. A document is
 never split, so a block is larger than ``BLOCK`` only for a longer single document.
 """
 
@@ -155,7 +155,10 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, limit: int = 16) ->
     _, vocabulary = chunk_ids(tokenizer_path)
     vocabulary = max(vocabulary, end_id + 1)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = ordered.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    # Equal rows are told apart by a number, so a doc_id that a third of the rows share is no single shard.
+    order = ["doc_id", "mark", "number"]
+    ordered = ordered.withColumns({"mark": F.xxhash64("text"), "number": F.monotonically_increasing_id()})
+    ordered = ordered.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select("doc_id", "text")
     ordered.mapInArrow(lambda x: _raw_blocks(x, tokenizer_path, end_id), RAW).write.option("compression", "none").parquet(f"{path}/raw")
     raw = spark.read.schema(RAW).parquet(f"{path}/raw")
     counts = np.zeros(vocabulary, np.int64)

@@ -137,25 +137,51 @@ def test_pieces_equal_the_library(spark, docs):
     assert pieces.digests(empty(docs), path).count() == 0
 
 
+def brute_kmers(text, k=5):
+    """Hash of each numbered k-mer in text order: the sums in whole numbers, the numbers by a plain count."""
+    m, powers, seen, out = (1 << 64) - 1, [int(x) for x in order_minhash.POWERS], defaultdict(int), []
+
+    def mixed(x):
+        x = (x ^ x >> 32) * int(order_minhash.MIX) & m
+        return x ^ x >> 29
+
+    codes = [ord(c) for c in text]
+    if len(codes) < k:
+        keys = [sum(c * p for c, p in zip(codes, powers, strict=False)) * powers[-1] + len(codes) + 1]
+    else:
+        keys = [sum(c * p for c, p in zip(codes[j : j + k], powers, strict=False)) for j in range(len(codes) - k + 1)]
+    for key in keys:
+        key = mixed(key & m) >> 20
+        out.append(mixed(key * powers[1] + seen[key] * powers[2] & m))
+        seen[key] += 1
+    return out
+
+
 def brute_sketch(text):
-    kmers, place = order_minhash.numbered_kmers(text)
-    low, out = (kmers >> np.uint64(32)).astype(np.uint32), []
-    for a, b in zip(order_minhash.FIRST[: order_minhash.COORDINATES], order_minhash.SECOND, strict=False):
-        h = low * a
-        h = (h ^ (h >> np.uint32(15))) * b
-        chosen = sorted(np.argsort(h, kind="stable")[: order_minhash.TUPLE], key=lambda k: place[k])
-        total = np.array([min(order_minhash.TUPLE, len(kmers))], np.uint64)
-        for k in chosen:
-            total = order_minhash._mixed(total * order_minhash.MIX + kmers[k : k + 1])
-        out.append(int(total[0] >> np.uint64(32)))
+    kmers, out, m = brute_kmers(text), [], (1 << 64) - 1
+    for a, b in zip(order_minhash.FIRST[: order_minhash.COORDINATES].tolist(), order_minhash.SECOND.tolist(), strict=False):
+        hashed = []
+        for place, x in enumerate(kmers):
+            h = (x >> 32) * a & 0xFFFFFFFF
+            hashed.append(((h ^ h >> 15) * b & 0xFFFFFFFF, x, place))
+        least = sorted(hashed)[: order_minhash.TUPLE]
+        total = len(least)
+        for _, x, _ in sorted(least, key=lambda y: y[2]):
+            total = (total * int(order_minhash.MIX) & m) + x & m
+            total = (total ^ total >> 32) * int(order_minhash.MIX) & m
+            total ^= total >> 29
+        out.append(total >> 32)
     return out
 
 
 def test_order_minhash(docs):
-    for text in ("", "abc", "abcdeabcde", "the quick brown fox jumps over the lazy dog " * 20):
+    for text in ("", "abc", "é漢🙂ab", "abcdeabcde", "the quick brown fox jumps over the lazy dog " * 20):
         assert order_minhash.sketch(text).tolist() == brute_sketch(text)
-        assert len(set(order_minhash.numbered_kmers(text)[0].tolist())) == max(1, len(text) - 4)
-    rows = sorted(((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in docs.collect()), key=lambda x: (-x[0], x[1]))
+        kmers, place = order_minhash.numbered_kmers(text)
+        assert kmers[np.argsort(place)].tolist() == brute_kmers(text) and len(set(kmers.tolist())) == max(1, len(text) - 4)
+    docs = docs.unionByName(docs.where("doc_id = 4").withColumn("text", F.concat("text", F.lit(" other"))))  # one doc_id, two texts
+    marked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text")).collect()
+    rows = [(d, t) for d, t, _ in sorted(((r.doc_id if r.doc_id is not None else -1, r.text, r.mark) for r in marked), key=lambda x: (-x[0], x[2]))]
     want = []
     for k, (doc_id, text) in enumerate(rows):
         following = rows[(k + 1) % len(rows)][1]
@@ -168,6 +194,13 @@ def test_order_minhash(docs):
     assert order_minhash.edited_pairs(empty(docs), 3).count() == 0
 
 
+def test_order_minhash_of_a_million_kmers():
+    """Beyond 2**20 k-mers hash and place no longer share a word: the same fingerprint as the plain form's."""
+    signs = np.random.default_rng(3).integers(97, 101, (1 << 20) + 50).astype(np.uint8).tobytes().decode()
+    kmers, place = order_minhash.numbered_kmers(signs)
+    assert kmers[np.argsort(place)].tolist() == brute_kmers(signs)
+
+
 def test_toxicity_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -379,6 +412,60 @@ def test_license_base_places_and_fuzzy_labels(docs, spark):
     assert licenses.scanned(empty(docs)).count() == 0
 
 
+def brute_labels(text):
+    """Labels by edit distance over every run of whole words."""
+    joined = licenses.folded(text)
+    words, out = joined.split(), set()
+
+    def apart(a, b):
+        table = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                table[i, j] = min(table[i - 1, j] + 1, table[i, j - 1] + 1, table[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+        return table[len(a), len(b)]
+
+    for phrase, label in (licenses.BASE | licenses.MORE).items():
+        there = phrase.split()
+        for i in range(len(words)):
+            for j in range(i + 1, min(len(words), i + len(there) + 3) + 1):
+                here = words[i:j]
+                if len(here) == len(there):
+                    near = all(apart(x, y) <= len(y) // 5 for x, y in zip(here, there, strict=True))
+                else:
+                    near = all(x in here for x in there if len(x) < 5)
+                if near and apart(" ".join(here), phrase) <= len(phrase) // 10:
+                    out.add(label)
+    return ",".join(sorted(out))
+
+
+def test_license_labels_against_edit_distance(spark):
+    """Short names stand unedited, long notices may be edited; edited phrases at random agree with the brute force."""
+    plain = ["a fit license", "kit license here", "it license", "emit license", "the bad license", "godzilla public license", "unit", "m it license"]
+    draw = random.Random(9)
+    edited = []
+    for phrase in sorted(licenses.BASE | licenses.MORE):
+        for _ in range(25):
+            signs = list(phrase)
+            for _ in range(draw.randint(0, 3)):
+                k = draw.randrange(len(signs))
+                signs[k : k + draw.randint(0, 1)] = draw.choice(["", "x", " ", "e"])
+            edited.append("see " + "".join(signs) + draw.choice(["", " here", ", version 2"]))
+    texts = plain + edited
+    got = {r.doc_id: r.labels for r in licenses.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(plain))] == [""] * len(plain)
+    assert {t: got[k] for k, t in enumerate(texts)} == {t: brute_labels(t) for t in texts}
+    assert sum(x != "" for x in got.values()) > 100
+
+
+def test_license_hard_rows(spark, docs):
+    clash = docs.withColumnRenamed("key", "labels").withColumn("score", F.lit("clash")).withColumn("n_words", F.lit(None))
+    rows = licenses.scanned(clash).collect()
+    assert len(rows) == docs.count() and {r.labels for r in rows} == {""} and all(isinstance(r.score, float) for r in rows)
+    long = spark.createDataFrame([(1, "word " * 200_000 + "mit license " + "é" * 300_000)], "doc_id long, text string")
+    row = licenses.scanned(long).head()
+    assert (row.n_words, row.n_base, row.first_word, row.labels) == (200_003, 1, 200_000, "mit")
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "http://a/", "same"), (2, None, "same"), (5, "http://b/\r\n", "same"), (3, "http://c/", None), (4, "http://d/", ""), (None, "http://e/", "alone é"), (9, "u", "y" * 300_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
@@ -393,10 +480,62 @@ def test_warc(spark, tmp_path):
         assert (row.record_type, row.refers_to) == (("response", None) if response else ("revisit", last[html or ""]))
         assert row.payload == (bytearray((html or "").encode()) if response else None)
     paths = [r.path for r in warc.export(files, str(tmp_path / "out")).collect()]
-    assert sum(gzip.open(p).read().count(b"WARC/1.1\r\n") for p in paths) == len(rows)
+    archived = [f for p in paths for f, _ in warc.records(iter([open(p, "rb").read()]))]
+    ids = [f["warc-record-id"] for f in archived]
+    assert len(archived) == len(set(ids)) == len(rows) and all(f["warc-date"] == warc.DATE for f in archived)
+    assert all(f["warc-refers-to"] in ids for f in archived if f["warc-type"] == "revisit")
     assert warc.read(warc.write(pages.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("lent", [0, 200_000])
+def test_warc_hard_rows_equal_the_sql(spark, tmp_path, monkeypatch, lent):
+    """Null and repeated ids, repeated rows, clashing columns, and short payloads that are never revisits."""
+    import duckdb
+
+    monkeypatch.setattr(warc, "LENT", lent)
+    rows = [(None, "unique"), (None, "five"), (5, "five"), (5, "five"), (2, "five"), (None, "nulls"), (None, "nulls"), (9, ""), (8, None), (-3, "x"), (-4, "x")]
+    pages = spark.createDataFrame([(k, f"http://{n}/", h, 1, "clash", "c") for n, (k, h) in enumerate(rows)], "page_id long, url string, html string, last long, sha1 string, copies string")
+    files = warc.write(pages)
+    con = duckdb.connect()
+    con.register("pages", pages.select("page_id", "html").toArrow())
+    key = lambda x: tuple((v is not None, str(v)) for v in x)
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    want = con.sql(f"SELECT {', '.join(names)} FROM ({warc.OP10_SQL})").fetchall()
+    assert sorted((tuple(r) for r in warc.read(files).select(*names).collect()), key=key) == sorted(want, key=key)
+    ids = [f["warc-record-id"] for r in files.collect() for f, _ in warc.records(iter([bytes(r.data)]))]
+    assert len(ids) == len(set(ids))
+    short = {(r.page_id, r.record_type) for r in warc.read(warc.write(pages, least=2)).where("payload_bytes < 2").collect()}
+    assert short == {(9, "response"), (8, "response"), (-3, "response"), (-4, "response")}
+
+
+def test_media_features_from_the_stored_files(spark, docs):
+    long = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(77, "long text " * 150_000)], "doc_id long, text string"))
+    files = media.stored(long).collect()
+    rows = {(r.doc_id, r.media_sha256): r for r in media.features(media.stored(long)).collect()}
+    for f in files:
+        data = bytes(f.media)
+        row = rows[f.doc_id, hashlib.sha256(data).hexdigest()]
+        pixels = b"".join(x.indices.tobytes() for x in gif.read(data).frames)
+        shades = [sum(pixels.count(bytes([v])) for v in range(16 * k, 16 * k + 16)) for k in range(16)]
+        assert (row.media_bytes, row.payload_bytes, row.feature) == (len(data), len(pixels), ",".join(map(str, shades)))
+    assert max(r.n_bytes for r in rows.values()) == 1_500_000
+
+
+def test_media_damage_interlace_and_own_palettes():
+    data = media.as_gif(b"some words of a text " * 40)
+    for bad in (b"", data[:5], b"XXX" + data[3:], data[: len(data) // 2], data[:-1], gif.write(192, 1, [], media.GREYS)):
+        with pytest.raises(ValueError):
+            media.from_gif(bad)
+    rows = np.arange(40, dtype=np.uint8).reshape(10, 4)
+    common, own = np.zeros((256, 3), np.uint8), np.arange(768, dtype=np.uint16).astype(np.uint8).reshape(256, 3)
+    sent = rows[[0, 8, 4, 2, 6, 1, 3, 5, 7, 9]]  # every 8th row from 0, every 8th from 4, every 4th from 2, every 2nd from 1
+    file = bytearray(gif.write(4, 10, [gif.Frame(0, 0, 4, 10, sent, own, 0, 0)], common))
+    at = file.index(bytes([0x2C, 0, 0, 0, 0, 4, 0, 10, 0])) + 9
+    file[at] |= 0x40
+    frame = gif.read(bytes(file)).frames[0]
+    assert (frame.indices == rows).all() and (frame.rgb() == own[rows]).all()
+
+
 def test_warc_damage():
     member = warc.record(1, "u", b"payload", warc.digest(b"payload"), "self")
     assert len(list(warc.records(iter([member[:10], member[10:] + member])))) == 2
