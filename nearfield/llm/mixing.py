@@ -55,6 +55,7 @@ def systematic(rows: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str = S
     spark = rows.sparkSession
     more = [c for c in rows.columns if c not in ("doc_id", "source", "size")]
     order = [F.col("size"), F.col("doc_id").asc_nulls_first(), *more]
+    rows = written(rows, "mix-sizes")  # texts are counted once, not for the bounds of the ranges too
     ranged = rows.repartitionByRange(partitions(spark), F.col("source").asc_nulls_last(), *order).withColumn("part", F.spark_partition_id())
     kept = written(ranged.withColumn("key", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))), "mix-rows")
     counts = kept.groupBy("part", "key").agg(F.count("*").alias("n"))

@@ -1,6 +1,6 @@
 """Sharding by global byte-size prefix sums: contiguous runs of documents of near equal bytes. DataFrame operations only.
 
-Plan: the narrow rows (id, size, checksum; no text) are range-partitioned by doc_id and written once with their
+Plan: the narrow rows (id, size, checksum; no text) are written, range-partitioned by doc_id and written again with their
 partition's number. Per-partition totals (a row a partition) give each partition's first byte and first rank; a window
 inside the partition does the rest, so no task sees more than one partition and no total passes through one row at a time.
 
@@ -29,6 +29,7 @@ def byte_shards(rows: DataFrame, n_shards: int) -> DataFrame:
     """``rows(doc_id, size, text_crc32)`` with shard and slot. Sums must stay below 2**62 / n_shards."""
     spark = rows.sparkSession
     order = [F.col("doc_id").asc_nulls_first(), F.col("text_crc32"), F.col("size")]
+    rows = written(rows, "shard-sizes")  # texts are read once, not for the bounds of the ranges too
     ranged = rows.repartitionByRange(partitions(spark), *order).withColumn("part", F.spark_partition_id())
     kept = written(ranged, "shard-rows")
     totals = kept.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))

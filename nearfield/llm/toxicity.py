@@ -1,16 +1,20 @@
 """Toxicity by non-negative positive-unlabelled learning: a numpy classifier from confirmed toxic texts and any texts.
 
-Features: runs of ``GRAM`` bytes within words (word ends marked), present or not, so spellings of a word share features. A run
-is its bytes read as a number, never a hash: what was not seen in training has no weight, however long the text. Training takes at most ``POSITIVE`` confirmed toxic texts and ``UNLABELLED`` texts of any
-kind, the first by a hash of doc_id; both bounds are parameters. The class prior is the toxic share of the labelled training
-rows. The ``FEATURES`` grams that are most telling between the two samples get weights that minimise the corrected risk
+Features: runs of ``GRAM`` bytes within words (word ends marked), present or not, so spellings of a word share features. A
+run is its bytes read as a number, never a hash: what was not seen in training has no weight, however long the text. In how
+many texts a run is, is counted over all training rows: over the confirmed toxic ones for every run, over all for the runs
+that are in a ``SHARE`` of the toxic ones. Those that are ``LIFT`` times as common among the toxic ones get weights. Only the
+gradient steps use samples: at most ``POSITIVE`` confirmed toxic texts and ``UNLABELLED`` texts of any kind, the first by a hash of doc_id; the bounds are
+parameters. The class prior is the toxic share of the labelled training rows. The weights minimise the corrected risk
 prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)); where the second term is negative, its gradient is walked back.
 
-Plan: training rows are chosen on narrow columns, their texts fetched by one join, and their grams counted where they are; the
-grams with weights and each training row's share of them reach the driver: bounded by the sample. Scoring is a map over all texts; no shuffle. Labels choose training rows only: label, lang,
-source and doc_id are no inputs of a score. Defined cases: null text is empty and has the score of the bias; texts with equal
-words have equal scores; without positives or texts to train on, all scores are 0; repeated labels of a doc_id count toxic if
-any is; null labels are no labels; an empty table gives no rows; other columns are not read.
+Plan: one map over the toxic training texts and a partial aggregate of their runs; one map over all training texts that
+gives a row a run and partition; one broadcast join fetches the sample. What reaches the driver is bounded by the runs that
+a ``SHARE`` of texts can have and by the sample. Scoring is a map over all texts; no shuffle. Labels choose training rows
+only: label, lang, source and doc_id are no inputs of a score. Defined cases: null text is empty and has the score of the
+bias; texts with equal words have equal scores; without positives or texts to train on, all scores are 0; repeated labels of
+a doc_id count toxic if any is; rows that repeat a doc_id are one row of the sample and each counted; null labels are no
+labels; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,10 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm.chunks import Memory
-from nearfield.llm.common import table, written
+from nearfield.llm.common import released, table, written
 
 GRAM = 5
-POSITIVE, UNLABELLED, FEATURES, LIFT = 3_000, 9_000, 1_024, 2.0
+POSITIVE, UNLABELLED, LIFT, SHARE = 3_000, 9_000, 2.0, 0.004
 THRESHOLD, REMEMBERED = 0.7, 100_000
 LETTERS = re.compile(r"[^\W\d_]+")
 SCORES = "doc_id long, score double"
@@ -62,77 +66,126 @@ def _present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64())), batch.column(2)], ["positive", "grams", "doc_id"])
 
 
+def _counted(batches: Iterator[pa.RecordBatch], chosen: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """In how many texts each of the ``chosen`` runs is; -1 stands for the number of texts."""
+    place, rows, total = {g: k for k, g in enumerate(chosen.tolist())}, 0, np.zeros(len(chosen), np.int64)
+    known = Memory(lambda word: tuple([place[g] for g in grams(word) if g in place]), REMEMBERED)
+    for batch in batches:
+        held: list[int] = []
+        for text in batch.column(0):
+            present: set[int] = set()
+            for found in map(known.__getitem__, set(LETTERS.findall((text.as_py() or "").lower()))):
+                present.update(found)
+            held.extend(present)
+        rows += batch.num_rows
+        total += np.bincount(np.array(held, np.int64), minlength=len(chosen))
+    seen = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(chosen[seen], -1), pa.int64()), pa.array(np.append(total[seen], rows), pa.int64())], ["gram", "n"])
+
+
 def _sparse(batches: Iterator[pa.RecordBatch], chosen: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         held = [np.intersect1d(own.values.to_numpy(), chosen, assume_unique=True).tobytes() for own in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary())], ["positive", "grams"])
 
 
-def telling(counts: DataFrame, positive: int, unlabelled: int, features: int) -> DataFrame:
-    """The most telling grams of ``counts(gram, p, u)``: in how many of ``positive`` and ``unlabelled`` texts each is."""
-    # A gram of the positive class alone is 1 / prior times as common among positives; one of its language, once to twice.
-    lift = (F.col("p") / positive + 0.5 / positive) / (F.col("u") / unlabelled + 0.5 / unlabelled + 1e-4)
-    gains = counts.where(F.col("p") >= max(3, 0.004 * positive)).withColumn("lift", lift).where(F.col("lift") >= LIFT)
-    return gains.withColumn("gain", F.col("p") / positive * F.log("lift")).orderBy(F.desc("gain"), "gram").limit(features).select("gram")
+def telling(grams_: np.ndarray, p: np.ndarray, u: np.ndarray, positive: int, unlabelled: int) -> np.ndarray:
+    """The telling runs, ascending: run k is in p[k] of ``positive`` toxic texts and u[k] of ``unlabelled`` texts."""
+    # A run of the positive class alone is 1 / prior times as common among positives; one of its language, once to twice.
+    lift = (p / positive + 0.5 / positive) / (u / unlabelled + 0.5 / unlabelled + 1e-4)
+    return np.sort(grams_[(p >= max(3, SHARE * positive)) & (lift >= LIFT)])
+
+
+def chosen_grams(texts: DataFrame, toxic: DataFrame) -> np.ndarray:
+    """The telling runs of training ``texts(doc_id, text)`` where ``toxic(doc_id)`` are confirmed; counts over all of them."""
+    own = written(texts.join(toxic, "doc_id").select(F.lit(True).alias("positive"), "text", "doc_id").mapInArrow(_present, "positive boolean, grams array<long>, doc_id long"), "toxicity-positive")
+    positive = own.count()
+    counts = own.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("p"))
+    frequent = counts.where(F.col("p") >= max(3, SHARE * positive)).orderBy("gram").toArrow()  # 1 / SHARE times a text's runs at most
+    released(own)
+    held, p = (frequent.column(x).to_numpy() for x in ("gram", "p"))
+    if not len(held):
+        return np.zeros(0, np.int64)
+    found = texts.select("text").mapInArrow(lambda x: _counted(x, held), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    n = dict(zip(found.column("gram").to_pylist(), found.column("n").to_pylist(), strict=True))
+    return telling(held, p, np.array([n.get(g, 0) for g in held.tolist()]), positive, n[-1])
 
 
-def sample(docs: DataFrame, labels: DataFrame, positive: int, unlabelled: int, features: int = FEATURES) -> tuple[list[np.ndarray], list[np.ndarray], float]:
-    """The telling grams in each row of the positive and the unlabelled sample, and the prior; at most ``positive + unlabelled`` rows travel."""
+def sample(docs: DataFrame, labels: DataFrame, positive: int, unlabelled: int) -> tuple[list[np.ndarray], list[np.ndarray], float]:
+    """The telling runs in each row of the positive and the unlabelled sample, and the prior; at most ``positive + unlabelled`` rows travel."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull() & ~held_out())
-    rows = ids.distinct().join(known, "doc_id", "left").withColumn("order", F.xxhash64("doc_id"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull() & ~held_out())
+    rows = texts.select("doc_id").distinct().join(known, "doc_id", "left").withColumn("order", F.xxhash64("doc_id"))
     prior = rows.where("toxic is not null").agg(F.avg((F.col("toxic") == 1).cast("double"))).head()[0] or 0.0
-    chosen = (
+    found = chosen_grams(texts, known.where("toxic = 1").select("doc_id"))
+    picked = (
         rows.where("toxic = 1").orderBy("order", "doc_id").limit(positive).select("doc_id", F.lit(True).alias("positive"))
         .unionByName(rows.orderBy("order", "doc_id").limit(unlabelled).select("doc_id", F.lit(False).alias("positive")))
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most positive + unlabelled ids
-    grams_ = texts.select("positive", "text", "doc_id").mapInArrow(_present, "positive boolean, grams array<long>, doc_id long")
-    held = written(grams_.groupBy("positive", "doc_id").agg(F.min("grams").alias("grams")), "toxicity-sample")  # rows that repeat a doc_id are one row of the sample
-    n_p, n_u = (held.where(x).count() for x in ("positive", "not positive"))
-    found = np.zeros(0, np.int64)
-    if n_p and n_u:
-        each = held.select("positive", F.explode("grams").alias("gram"))
-        counts = each.groupBy("gram").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u"))
-        found = np.sort(telling(counts, n_p, n_u, features).toArrow().column("gram").to_numpy())
+    fetched = texts.join(F.broadcast(picked), "doc_id")  # at most positive + unlabelled ids
+    own = fetched.select("positive", "text", "doc_id").mapInArrow(_present, "positive boolean, grams array<long>, doc_id long")
+    held = own.groupBy("positive", "doc_id").agg(F.min("grams").alias("grams")).select("positive", "grams")  # rows that repeat a doc_id are one row of the sample
+    sparse = held.mapInArrow(lambda x: _sparse(x, found), "positive boolean, grams binary").toArrow()
     p, u = [], []
-    sparse = held.select("positive", "grams").mapInArrow(lambda x: _sparse(x, found), "positive boolean, grams binary").toArrow()
-    for is_positive, own in zip(*(sparse.column(x).to_pylist() for x in ("positive", "grams")), strict=True):
-        (p if is_positive else u).append(np.frombuffer(own, np.int64))
+    for is_positive, runs in zip(*(sparse.column(x).to_pylist() for x in ("positive", "grams")), strict=True):
+        (p if is_positive else u).append(np.frombuffer(runs, np.int64))
     return p, u, prior
 
 
+class Rows:
+    """Texts as the places of the runs that they hold: a sparse matrix of ones."""
+
+    def __init__(self, texts: list[np.ndarray], chosen: np.ndarray):
+        self.n, self.width = len(texts), len(chosen)
+        self.place = np.searchsorted(chosen, np.concatenate(texts)) if texts else np.zeros(0, np.int64)
+        self.row = np.repeat(np.arange(self.n), [len(x) for x in texts])
+
+    def times(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights[self.place], self.n)
+
+    def transposed(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.place, values[self.row], self.width)
+
+
+def risk(zp: np.ndarray, zu: np.ndarray, prior: float, sigmoid: bool) -> tuple[float, float]:
+    """prior * R_p(+) and R_u(-) - prior * R_p(-) of the texts' sums, under the logistic or the sigmoid loss."""
+    sp, su = (1 / (1 + np.exp(-np.clip(z, -30, 30))) for z in (zp, zu))
+    if sigmoid:
+        return prior * float((1 - sp).mean()), float(su.mean() - prior * sp.mean())
+    alarm = lambda s: -np.log1p(-np.minimum(s, 1 - 1e-7)).mean()
+    return prior * float(-np.log(np.maximum(sp, 1e-7)).mean()), float(alarm(su) - prior * alarm(sp))
+
+
+def slopes(p: Rows, u: Rows, weights: np.ndarray, prior: float, sigmoid: bool) -> np.ndarray:
+    """The direction of a step, the last entry the bias': the gradient of the corrected risk, or where its second term is
+    negative, that term's gradient walked back."""
+    zp, zu = (x.times(weights[:-1]) + weights[-1] for x in (p, u))
+    sp, su = (1 / (1 + np.exp(-np.clip(z, -30, 30))) for z in (zp, zu))
+    if sigmoid:
+        miss = alarm = sp * (1 - sp) / p.n
+        wrong = su * (1 - su) / u.n
+    else:
+        miss, alarm, wrong = (1 - sp) / p.n, sp / p.n, su / u.n
+    as_positive = -prior * np.append(p.transposed(miss), miss.sum())
+    as_negative = np.append(u.transposed(wrong), wrong.sum()) - prior * np.append(p.transposed(alarm), alarm.sum())
+    return as_positive + as_negative if risk(zp, zu, prior, sigmoid)[1] >= 0 else -as_negative
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 300, rate: float = 0.05) -> Model:
-    """Weights by Adam on the non-negative risk, for each gram that a row holds; rows in a set order, so reruns agree."""
+    """Weights by Adam on the non-negative risk, for each run that a row holds; rows in a set order, so reruns agree.
+
+    A third of the steps take the logistic loss, which finds the class from anywhere; the rest the sigmoid loss, which no longer
+    pulls at texts that are plainly of one class and so leaves chance runs alone.
+    """
     if not positive or not unlabelled or not 0 < prior < 1:
         return Model({}, float("-inf"))
     positive, unlabelled = (sorted(x, key=lambda y: y.tobytes()) for x in (positive, unlabelled))
     chosen = np.unique(np.concatenate([*positive, *unlabelled]))
-
-    def matrix(rows: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(rows), len(chosen)), np.float32)
-        for k, own in enumerate(rows):
-            out[k, np.searchsorted(chosen, own)] = 1
-        return out
-
-    p, u, decay = matrix(positive), matrix(unlabelled), 1e-5
+    p, u, decay = Rows(positive, chosen), Rows(unlabelled, chosen), 1e-5
     w, first, second = np.zeros(len(chosen) + 1), 0.0, 0.0
     w[-1] = -2.0
     for step in range(1, steps + 1):
-        sp, su = (1 / (1 + np.exp(-np.clip(x @ w[:-1].astype(np.float32) + w[-1], -30, 30))) for x in (p, u))
-        # Slopes of the three risks' losses: logistic first, which finds the class from anywhere; then the sigmoid loss, which
-        # no longer pulls at texts that are plainly of one class and so leaves chance grams alone.
-        if step <= steps // 3:
-            miss, alarm, wrong = (1 - sp) / len(p), sp / len(p), su / len(u)
-            negative_risk = -np.log1p(-np.minimum(su, 1 - 1e-7)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-7)).mean()
-        else:
-            miss = alarm = sp * (1 - sp) / len(p)
-            wrong = su * (1 - su) / len(u)
-            negative_risk = su.mean() - prior * sp.mean()
-        as_positive = -prior * np.append(miss @ p, miss.sum())
-        as_negative = np.append(wrong @ u, wrong.sum()) - prior * np.append(alarm @ p, alarm.sum())
-        gradient = as_positive + as_negative if negative_risk >= 0 else -as_negative
-        gradient = gradient + decay * np.append(w[:-1], 0)
+        gradient = slopes(p, u, w, prior, step > steps // 3) + decay * np.append(w[:-1], 0)
         first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
         w -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     return Model({int(g): float(x) for g, x in zip(chosen, w[:-1], strict=True)}, float(w[-1]))

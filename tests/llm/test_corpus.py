@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -219,6 +220,87 @@ def test_toxicity_hard_rows(docs, spark):
     assert toxicity.cleaned(docs, model).columns == docs.columns and toxicity.cleaned(docs, model).count() == docs.count()
 
 
+def plain_grams(text):
+    """Five-byte runs of each folded word with its ends marked, as the text's set."""
+    out = set()
+    for word in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        marked = f"<{word}>".encode()
+        out |= {marked[k : k + 5] for k in range(max(1, len(marked) - 4))}
+    return out
+
+
+def toxic_table(spark, n=400):
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    common, bad = [word() for _ in range(400)], [word() for _ in range(12)]
+    rows = [(k, " ".join(draw.sample(common, 30) + (draw.sample(bad, 4) if k % 4 == 0 else []))) for k in range(n)]
+    return rows, bad, spark.createDataFrame([(k, int(k % 4 == 0) if k % 3 else None) for k in range(n)], "doc_id long, toxic int")
+
+
+def test_toxicity_counts_over_all_training_rows(spark):
+    """The runs with weights, by plain counts of all training rows and not of the samples."""
+    rows, _, labels = toxic_table(spark)
+    learn = [(k, t) for k, t in rows if zlib.crc32(str(k).encode()) % 3 != 1]
+    positive = [t for k, t in learn if k % 3 and k % 4 == 0]
+    p, u = (defaultdict(int) for _ in range(2))
+    for texts, count in ((positive, p), ([t for _, t in learn], u)):
+        for t in texts:
+            for g in plain_grams(t):
+                count[g] += 1
+    n, m = len(positive), len(learn)
+    want = {g for g in p if p[g] >= max(3, 0.004 * n) and (p[g] / n + 0.5 / n) / (u[g] / m + 0.5 / m + 1e-4) >= 2}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held, unlabelled, prior = toxicity.sample(docs, labels, 10, 20)
+    found = toxicity.chosen_grams(docs.where(~toxicity.held_out()), labels.where("toxic = 1").select("doc_id"))
+    assert {int(g).to_bytes(5).lstrip(b"\0") for g in found} == want and len(held) == 10 and len(unlabelled) == 20
+    known = [k % 4 == 0 for k, _ in learn if k % 3]
+    assert abs(prior - sum(known) / len(known)) < 1e-12
+
+
+@pytest.mark.parametrize("sigmoid", [False, True])
+@pytest.mark.parametrize("prior", [0.05, 3.0])
+def test_toxicity_risk_and_its_slopes(sigmoid, prior):
+    """The risk by plain sums, and slopes by small differences; a factor of three makes the second term negative."""
+    draw = np.random.default_rng(4)
+    texts = [np.flatnonzero(draw.random(6) < 0.5) for _ in range(25)]
+    p, u, w = texts[:10], texts[10:], draw.normal(size=7)
+    loss = (lambda z: 1 / (1 + math.exp(z))) if sigmoid else (lambda z: math.log(1 + math.exp(-z)))
+
+    def plain(weights):
+        z = lambda rows: [sum(weights[j] for j in own) + weights[6] for own in rows]
+        mean = lambda rows, sign: sum(loss(sign * x) for x in z(rows)) / len(rows)
+        return prior * mean(p, 1), mean(u, -1) - prior * mean(p, -1)
+
+    rows = [toxicity.Rows(x, np.arange(6)) for x in (p, u)]
+    terms = toxicity.risk(*[x.times(w[:6]) + w[6] for x in rows], prior, sigmoid)
+    assert np.allclose(terms, plain(w))
+    negative = plain(w)[1] < 0
+    walked = lambda weights: -plain(weights)[1] if negative else sum(plain(weights))
+    steps = [(walked(w + 1e-6 * e) - walked(w - 1e-6 * e)) / 2e-6 for e in np.eye(7)]
+    assert np.allclose(toxicity.slopes(*rows, w, prior, sigmoid), steps, atol=1e-6)
+    assert negative == (prior == 3.0)
+
+
+def test_toxicity_hard_rows_under_a_trained_model(spark, docs):
+    rows, bad, labels = toxic_table(spark)
+    model = toxicity.trained(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    clash = docs.withColumn("score", F.lit("clash")).withColumn("toxic", F.lit(1)).unionByName(
+        spark.createDataFrame([(900, " ".join(bad)), (901, " ".join(bad).upper()), (902, "word " * 300_000 + bad[0])], "doc_id long, text string"), allowMissingColumns=True)
+    got = toxicity.scored(clash, model).collect()
+    texts = defaultdict(set)
+    for r in clash.collect():
+        z = model.bias + sum(model.features.get(int.from_bytes(g), 0) for g in plain_grams(r.text))
+        texts[r.doc_id].add(round(1 / (1 + math.exp(-z)), 9))
+    for r in got:
+        assert round(r.score, 9) in texts[r.doc_id]
+    scores = {r.doc_id: r.score for r in got}
+    bias = 1 / (1 + math.exp(-model.bias))
+    assert len(got) == clash.count() and scores[900] == scores[901] > 0.7 > scores[0] and scores[0] == scores[1] == pytest.approx(bias)
+    assert toxicity.cleaned(clash, model).columns == clash.columns
+    assert {r.doc_id for r in toxicity.cleaned(clash, model).collect()} == {r.doc_id for r in got if r.score < 0.7}
+    assert toxicity.scored(empty(docs), model).count() == 0 and toxicity.cleaned(empty(docs), model).count() == 0
+
+
 def test_toxicity_sample_is_bounded_under_repeated_ids(spark):
     rows = spark.range(600).selectExpr("if(id < 500, 0L, id) doc_id", "concat('text ', id) text")
     labels = spark.createDataFrame([(0, 1), (0, 1), (501, 0)], "doc_id long, toxic int")
@@ -562,3 +644,35 @@ def test_pipeline_stages_against_brute_force(spark):
     assert mixed.columns == docs.columns
     taken = mixing.systematic(one.select("doc_id", "source", mixing.word_count().alias("size"))).agg(F.sum("copies")).head()[0]
     assert mixed.count() == taken == c.pieces_stage(spark, mixed, SF).count()
+
+
+def test_pipeline_run_on_hard_rows(spark, tmp_path):
+    """Null and empty texts, repeated ids with other texts, copies and null sources through ``run``: the stages' own results."""
+    import corpus_pipeline as c
+
+    own = " ".join(f"word{k}" for k in range(80))
+    rows = [(k, t, "en", f"s{k % 3}" if k % 4 else None, len(t or "")) for k, t in enumerate([*HARD, own, own + " end", "some other text", own.upper()])]
+    rows += [(3, "the same id with a text of its own " + own[:200], "en", "s0", 1), (3, HARD[3], "en", "s0", 1), (None, "no id", None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars int"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(3, None, None), (4, 1, 0), (5, 0, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = c.run(spark, str(tmp_path)).collect()
+    # Without confirmed toxic texts nothing is rejected; one of each component stays; the mix repeats rows.
+    want, _ = brute_rows([r[:2] for r in rows], 5, 80)
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    kept = near_dup.deduplicated(docs)
+    left = [(r.doc_id, r.text) for r in kept.collect()]
+    assert {d for d, _ in left} == {r[2] if r[2] is not None else r[0] for r in want} and sum(d == 3 for d, _ in left) == 2
+    taken = {(r.doc_id, r.text): 0 for r in kept.collect()}
+    for r in mixing.mixed_documents(kept).collect():
+        taken[r.doc_id, r.text] += 1
+    sent = defaultdict(int)
+    for (doc_id, _), n in taken.items():
+        sent[doc_id] += n
+    got = defaultdict(int)
+    for r in out:
+        got[r.doc_id] += 1
+    assert got == {k: n for k, n in sent.items() if n}
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "none" / "labels.parquet"))
+    assert c.run(spark, str(tmp_path / "none")).count() == 0
