@@ -2,6 +2,9 @@
 
 GRID_DEG, BUFFER_DEG, EDGE_DEG = 5, 0.5, 1
 ROWS, COLS = 36, 72
+CELL_DEG = 0.5
+CELL_ROWS, CELL_COLS = 360, 720
+INDEX_VERSION = 1
 MIN_ARTICLES = 4
 EARTH_RADIUS_M = 6_371_000
 HIGHLIGHT_WEIGHT = 104
@@ -12,4 +15,4 @@ BACK_DET, DEGENERATE_DET = -1e-8, 1e-9
 MAX_EDGE_RAD = 0.18
 RADAR_BLIPS, RADAR_DEFAULT_M = 80, 1000
 CACHED_TILES, SESSION_TTL_S, RETRY_AFTER_MS, DEBOUNCE_S = 50, 3600, 1_800_000, 600
-LANGUAGES = ("en", "sv", "ja", "de", "fr", "es", "it", "pt", "nl", "ru", "zh", "ko", "ar", "pl")
+LANGUAGES = ("en", "de", "fr", "es", "it", "ru", "zh", "pt", "pl", "nl", "ko", "ar", "sv", "ja")

@@ -6,11 +6,13 @@ residual box holds, so no nested loop is planned. There are at most 2,592 tiles;
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from nearfield.constants import BUFFER_DEG, EDGE_DEG, GRID_DEG, MIN_ARTICLES, ROWS
+from nearfield.constants import BUFFER_DEG, COLS, EDGE_DEG, GRID_DEG, MIN_ARTICLES, ROWS
 from nearfield.functions import geo
 
 
@@ -43,47 +45,70 @@ def index(tiles: DataFrame) -> DataFrame:
 
 
 def index_hash(hashes: DataFrame) -> DataFrame:
-    """First eight digits of the SHA-256 of all ids and hashes in order of id; at most 2,592 rows are gathered."""
-    joined = F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("id", "hash"))), lambda x: F.concat(x["id"], x["hash"])))
+    """First eight digits of the SHA-256 of all hashes in order of id; at most 2,592 rows are gathered."""
+    joined = F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("id", "hash"))), lambda x: x["hash"]))
     return hashes.agg(F.substring(F.sha2(joined, 256), 1, 8).alias("hash"))
 
 
-def for_positions(positions: DataFrame, tiles: DataFrame) -> DataFrame:
+def _listed(codes: list[int]) -> Column:
+    """Existing tiles (row * 72 + column; 2,592 at most) as one constant array: choosing tiles joins nothing."""
+    return F.from_json(F.lit(json.dumps(sorted(codes))), "array<int>")
+
+
+def _ring_to(code) -> Column:
+    return geo.ring("tile_row", "tile_col", F.floor(code / COLS), code % COLS).cast("int")
+
+
+def _id_of(code) -> Column:
+    return geo.tile_id(F.floor(code / COLS), code % COLS)
+
+
+def for_positions(positions: DataFrame, codes: list[int]) -> DataFrame:
     """(pid, tile_id, kind): the tile of a position and existing neighbours within a degree of its edges; where the own
-    tile doesn't exist, all tiles of the nearest populated ring."""
-    at = assigned(positions.select("pid", "lat", "lon"))
+    tile doesn't exist, all tiles of the nearest populated ring. A projection, on streams as on tables."""
+    at = assigned(positions.select("pid", "lat", "lon")).withColumn("held", _listed(codes))
     south, west = F.col("tile_row") * GRID_DEG - 90, F.col("tile_col") * GRID_DEG - 180
     near = {(-1, 0): F.col("lat") - south < EDGE_DEG, (1, 0): south + GRID_DEG - F.col("lat") < EDGE_DEG, (0, -1): F.col("lon") - west < EDGE_DEG, (0, 1): west + GRID_DEG - F.col("lon") < EDGE_DEG}
-    offsets = [F.when(F.lit(True), F.struct(F.lit(0).alias("dr"), F.lit(0).alias("dc")))]
+    code = lambda dr, dc: (F.col("tile_row") + dr) * COLS + geo.wrapped_col(F.col("tile_col") + dc)
+    around = []
     for dr in (-1, 0, 1):
         for dc in (-1, 0, 1):
             if dr or dc:
                 hold = (near[dr, 0] if dr else F.lit(True)) & (near[0, dc] if dc else F.lit(True))
-                offsets.append(F.when(hold, F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc"))))
-    ids = tiles.select("tile_row", "tile_col").distinct()
-    around = at.select("pid", "tile_row", "tile_col", F.explode(F.array_compact(F.array(*offsets))).alias("o"))
-    around = around.select("pid", (F.col("tile_row") + F.col("o.dr")).alias("tile_row"), geo.wrapped_col(F.col("tile_col") + F.col("o.dc")).alias("tile_col"), ((F.col("o.dr") == 0) & (F.col("o.dc") == 0)).alias("own"))
-    held = around.join(F.broadcast(ids), ["tile_row", "tile_col"], "left_semi")
-    primary = held.where("own").select("pid").distinct()
-    direct = held.join(primary, "pid", "left_semi").select("pid", geo.tile_id("tile_row", "tile_col").alias("tile_id"), F.when(F.col("own"), F.lit("primary")).otherwise(F.lit("adjacent")).alias("kind"))
-    lost = nearest(positions.join(primary, "pid", "left_anti"), tiles).select("pid", "tile_id", F.lit("ring").alias("kind"))
-    return direct.unionByName(lost)
-
-
-def rings(positions: DataFrame, tiles: DataFrame, most: int | None = None) -> DataFrame:
-    """(pid, tile_id, ring) of all tiles, or those within ``most``. The tile table has 2,592 rows at most: it is broadcast,
-    and no data row meets another."""
-    ids = tiles.select("tile_row", "tile_col").distinct().withColumnsRenamed({"tile_row": "r", "tile_col": "c"})
-    listed = ids.agg(F.collect_list(F.struct("r", "c")).alias("all_tiles"))
-    at = assigned(positions.select("pid", "lat", "lon")).join(F.broadcast(listed))
-    out = at.select("pid", "tile_row", "tile_col", F.explode("all_tiles").alias("t")).select("pid", geo.tile_id("t.r", "t.c").alias("tile_id"), geo.ring("tile_row", "tile_col", "t.r", "t.c").alias("ring"))
-    return out if most is None else out.where(F.col("ring") <= most)
-
-
-def nearest(positions: DataFrame, tiles: DataFrame) -> DataFrame:
+                if dr:
+                    hold = hold & (F.col("tile_row") + dr).between(0, ROWS - 1)
+                around.append(F.when(hold & F.array_contains("held", code(dr, dc)), F.struct(code(dr, dc).cast("int").alias("code"), F.lit("adjacent").alias("kind"))))
+    own = F.struct(code(0, 0).cast("int").alias("code"), F.lit("primary").alias("kind"))
+    direct = F.array_compact(F.array(own, *around))
+    first = F.array_min(F.transform("held", _ring_to))
+    lost = F.transform(F.filter("held", lambda c: _ring_to(c) == first), lambda c: F.struct(c.alias("code"), F.lit("ring").alias("kind")))
+    chosen = F.when(F.array_contains("held", code(0, 0).cast("int")), direct).otherwise(lost)
+    return at.select("pid", F.explode(chosen).alias("t")).select("pid", _id_of(F.col("t.code")).alias("tile_id"), "t.kind")
+
+
+def rings(positions: DataFrame, codes: list[int], most: int | None = None) -> DataFrame:
+    """(pid, tile_id, ring) of all tiles, or those within ``most``: found once for each of the 2,592 tiles that positions can be
+    in, then lent to the positions of that tile."""
+    return _lent(positions, own_rings(positions, codes, most))
+
+
+def own_rings(positions: DataFrame, codes: list[int], most: int | None = None) -> DataFrame:
+    """(tile_row, tile_col, tile_id, ring) for each tile that holds a position."""
+    own = assigned(positions.select("lat", "lon")).select("tile_row", "tile_col").distinct()
+    held = _listed(codes) if most is None else F.filter(_listed(codes), lambda c: _ring_to(c) <= most)
+    return own.select("tile_row", "tile_col", F.explode(held).alias("code")).select("tile_row", "tile_col", _id_of(F.col("code")).alias("tile_id"), _ring_to(F.col("code")).alias("ring"))
+
+
+def _lent(positions: DataFrame, by_tile: DataFrame) -> DataFrame:
+    return assigned(positions.select("pid", "lat", "lon")).select("pid", "tile_row", "tile_col").join(by_tile, ["tile_row", "tile_col"]).select("pid", "tile_id", "ring")
+
+
+def nearest(positions: DataFrame, codes: list[int]) -> DataFrame:
     """All tiles of each position's first populated ring."""
-    ranked = rings(positions, tiles).withColumn("rk", F.rank().over(W.partitionBy("pid").orderBy("ring")))
-    return ranked.where("rk = 1").drop("rk")
+    own = assigned(positions.select("lat", "lon")).select("tile_row", "tile_col").distinct().withColumn("held", _listed(codes))
+    first = F.array_min(F.transform("held", _ring_to))
+    found = own.select("tile_row", "tile_col", F.explode(F.filter("held", lambda c: _ring_to(c) == first)).alias("code"))
+    return _lent(positions, found.select("tile_row", "tile_col", _id_of(F.col("code")).alias("tile_id"), _ring_to(F.col("code")).alias("ring")))
 
 
 def centroids(tiles: DataFrame) -> DataFrame:

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
-from nearfield.constants import CACHED_TILES
+from nearfield.constants import CACHED_TILES, RADAR_BLIPS
 from nearfield.functions import geo, text
-from nearfield.operators import extract, knn, tiling
-from nearfield.plans.registry import COL, DIST, PLACE, ROW, R, best, chosen, distances, located, members, query, tid, vec
+from nearfield.operators import extract, knn, store, tiling
+from nearfield.plans.registry import COL, DIST, PLACE, ROW, R, best, chosen, distances, located, members, query, tid, vec, weight
 from nearfield.sources import dump
-from nearfield.sources.views import ctes, view
+from nearfield.session import shared_root
+from nearfield.sources.views import VIEWS, ctes, view
 
 # --- extraction -------------------------------------------------------------------------------------------------------
 
@@ -51,9 +52,9 @@ def title_lookup(spark, sf_dir):
     return view(spark, sf_dir, "articles_g").where(F.col("title") == "Doc 42").select("seq", "title", "lat", "lon")
 
 
-@query(f"{ctes('articles_g')}, l AS (SELECT 'Doc ' || (c_custkey * 3) AS title, (c_custkey * 3 * 7919 % 18001) / 100e0 - 90e0 + (c_custkey % 3) * 0.03e0 AS want_lat, (c_custkey * 3 * 104729 % 36001) / 100e0 - 180e0 AS want_lon FROM customer WHERE c_custkey < 150), f AS (SELECT l.*, a.lat, a.lon FROM l LEFT JOIN articles_g a USING (title)) SELECT CAST(count_if(lat IS NOT NULL AND NOT (abs(lat - want_lat) > 0.05 OR abs(lon - want_lon) > 0.05)) AS BIGINT) AS matched, CAST(count_if(lat IS NULL) AS BIGINT) AS missing, CAST(count_if(lat IS NOT NULL AND (abs(lat - want_lat) > 0.05 OR abs(lon - want_lon) > 0.05)) AS BIGINT) AS mismatched FROM f")
+@query(f"{ctes('articles_g')}, l AS (SELECT 'Doc ' || (c_custkey * 3) AS title, (c_custkey * 3 * 7919 % 18001) / 100e0 - 90e0 + (c_custkey % 3) * 0.03e0 AS want_lat, (c_custkey * 3 * 104729 % 36001) / 100e0 - 180e0 AS want_lon FROM customer), f AS (SELECT l.*, a.lat, a.lon FROM l LEFT JOIN articles_g a USING (title)) SELECT CAST(count_if(lat IS NOT NULL AND NOT (abs(lat - want_lat) > 0.05 OR abs(lon - want_lon) > 0.05)) AS BIGINT) AS matched, CAST(count_if(lat IS NULL) AS BIGINT) AS missing, CAST(count_if(lat IS NOT NULL AND (abs(lat - want_lat) > 0.05 OR abs(lon - want_lon) > 0.05)) AS BIGINT) AS mismatched FROM f")
 def canary_check(spark, sf_dir):
-    marks = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey < 150").selectExpr("concat('Doc ', c_custkey * 3) AS title", "(c_custkey * 3 * 7919 % 18001) / 100e0 - 90e0 + (c_custkey % 3) * 0.03e0 AS lat", "(c_custkey * 3 * 104729 % 36001) / 100e0 - 180e0 AS lon")
+    marks = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("concat('Doc ', c_custkey * 3) AS title", "(c_custkey * 3 * 7919 % 18001) / 100e0 - 90e0 + (c_custkey % 3) * 0.03e0 AS lat", "(c_custkey * 3 * 104729 % 36001) / 100e0 - 180e0 AS lon")
     return extract.canary(view(spark, sf_dir, "articles_g"), marks)
 
 
@@ -68,10 +69,12 @@ def geocode_filter(spark, sf_dir):
 
 
 def _shared(spark, what: str) -> str:
-    import uuid
+    return f"{shared_root(spark)}/{what}-{uuid.uuid4().hex}"
 
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="nearfield-")
-    return f"{root}/{what}-{uuid.uuid4().hex}"
+
+def index(spark, sf_dir, name: str = "articles_d") -> store.Index:
+    """The stored tile index of a view of articles: built by the first query, read by all."""
+    return store.opened(view(spark, sf_dir, name), f"{sf_dir}/{VIEWS[name][0]}.parquet", name)
 
 
 @query(f"{ctes('articles_g')} SELECT title, lat, lon, len FROM articles_g WHERE lat BETWEEN -45 AND 45")
@@ -128,6 +131,30 @@ def pipeline_totals(spark, sf_dir):
     return tiling.index(_members(spark, sf_dir)).agg(F.count("*").alias("tiles"), F.sum("articles").alias("articles"), F.sum("vertices").alias("vertices"))
 
 
+STORED = f"""{D}, w AS (SELECT *, {weight('len')} AS weight FROM members), s AS (SELECT tile_id, CAST(sum(strlen(title) + 17) AS BIGINT) AS bytes,
+substr(md5(CAST(sum(CAST('0x' || substr(md5(concat_ws('|', seq, title, CAST(round(lat * 1e6) AS BIGINT), CAST(round(lon * 1e6) AS BIGINT), weight)), 1, 8) AS BIGINT)) AS VARCHAR) || ':' || count(*)), 1, 8) AS hash,
+CAST(count_if(native) AS BIGINT) AS articles, any_value(tile_row) AS row, any_value(tile_col) AS col FROM w GROUP BY tile_id),
+stored AS (SELECT tile_id AS id, row, col, row * 5 - 90e0 AS south, row * 5 - 85e0 AS north, col * 5 - 180e0 AS west, col * 5 - 175e0 AS east, articles, bytes, hash FROM s)"""
+
+
+@query(f"{STORED} SELECT *, (SELECT substr(sha256(string_agg(hash, '' ORDER BY id)), 1, 8) FROM stored) AS index_hash, 1 AS version FROM stored")
+def manifest_roundtrip(spark, sf_dir):
+    """The index built anew, its manifest written, read back and checked."""
+    path = _shared(spark, "index")
+    store.build(view(spark, sf_dir, "articles_d"), path)
+    held = store.read(spark, path)
+    return held.tiles.withColumns({"index_hash": F.lit(held.manifest["hash"]), "version": F.lit(held.manifest["version"])})
+
+
+@query(f"{STORED}, cached AS (SELECT id, CASE WHEN row % 2 = 0 THEN hash ELSE 'old' END AS hash FROM stored), l AS (SELECT * FROM stored t WHERE NOT EXISTS (SELECT 1 FROM cached c WHERE c.id = t.id AND c.hash = t.hash)) SELECT l.id, count(*) AS rows, CAST(sum(m.seq) AS BIGINT) AS seqs FROM l JOIN members m ON m.tile_id = l.id GROUP BY l.id")
+def tile_cache(spark, sf_dir):
+    """A cache in which half of the tile rows have other hashes: only those tiles are loaded from the stored members."""
+    held = index(spark, sf_dir)
+    cached = held.tiles.select("id", F.when(F.col("row") % 2 == 0, F.col("hash")).otherwise("old").alias("hash"))
+    load = F.broadcast(store.changed(cached, held).select(F.col("id").alias("tile_id"), F.col("row").alias("tile_row")))  # 2,592 tiles at most
+    return held.members.join(load, ["tile_id", "tile_row"]).groupBy(F.col("tile_id").alias("id")).agg(F.count("*").alias("rows"), F.sum("seq").alias("seqs"))
+
+
 HASHES = f"{INDEX}, h AS (SELECT id, substr(sha256(id || ':' || vertices), 1, 8) AS hash FROM idx)"
 
 
@@ -135,7 +162,7 @@ def _hashes(spark, sf_dir):
     return tiling.index(_members(spark, sf_dir)).select("id", F.substring(F.sha2(F.concat_ws(":", "id", "vertices"), 256), 1, 8).alias("hash"))
 
 
-@query(f"{HASHES} SELECT substr(sha256(string_agg(id || hash, '' ORDER BY id)), 1, 8) AS hash FROM h")
+@query(f"{HASHES} SELECT substr(sha256(string_agg(hash, '' ORDER BY id)), 1, 8) AS hash FROM h")
 def index_hash(spark, sf_dir):
     return tiling.index_hash(_hashes(spark, sf_dir))
 
@@ -149,23 +176,19 @@ def tile_bounds(spark, sf_dir):
 CHOSEN = f"{ctes('articles_d', 'queries_pts')}, {members('articles_d')}, {chosen()}"
 
 
-def _tiles(spark, sf_dir):
-    return _members(spark, sf_dir).select("tile_row", "tile_col").distinct()
-
-
 @query(f"{CHOSEN} SELECT pid, tile_id, kind FROM chosen")
 def tiles_for_position(spark, sf_dir):
-    return tiling.for_positions(view(spark, sf_dir, "queries_pts"), _tiles(spark, sf_dir))
+    return tiling.for_positions(view(spark, sf_dir, "queries_pts"), index(spark, sf_dir).codes)
 
 
 @query(f"{CHOSEN} SELECT pid, tile_id, CAST(ring AS INTEGER) AS ring FROM rings WHERE ring <= 2")
 def tiles_at_ring(spark, sf_dir):
-    return tiling.rings(view(spark, sf_dir, "queries_pts"), _tiles(spark, sf_dir), 2)
+    return tiling.rings(view(spark, sf_dir, "queries_pts"), index(spark, sf_dir).codes, 2)
 
 
 @query(f"{CHOSEN} SELECT pid, tile_id, CAST(ring AS INTEGER) AS ring FROM (SELECT *, rank() OVER (PARTITION BY pid ORDER BY ring) AS rk FROM rings) WHERE rk = 1")
 def nearest_tiles(spark, sf_dir):
-    return tiling.nearest(view(spark, sf_dir, "queries_pts"), _tiles(spark, sf_dir))
+    return tiling.nearest(view(spark, sf_dir, "queries_pts"), index(spark, sf_dir).codes)
 
 
 _M = "sqrt(mx * mx + my * my + mz * mz)"
@@ -182,9 +205,7 @@ KNN = f"{CHOSEN}, {distances()}, {POOL}"
 
 @query(f"{KNN} SELECT pid, tile_id AS winner, distance_m FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY distance_m, title, tile_id) AS rn FROM pool) WHERE rn = 1")
 def tile_winner(spark, sf_dir):
-    points, members_ = view(spark, sf_dir, "queries_pts"), _members(spark, sf_dir)
-    chosen_ = tiling.for_positions(points, members_.select("tile_row", "tile_col").distinct()).select("pid", "tile_id")
-    met = chosen_.join(knn.located(members_).select("tile_id", "title", "x", "y", "z"), "tile_id").join(knn.pointed(points), "pid").withColumn("distance_m", knn.distance())
+    met = knn.pairs(view(spark, sf_dir, "queries_pts"), index(spark, sf_dir), 1)
     out = met.groupBy("pid").agg(F.min(F.struct("distance_m", "title", "tile_id")).alias("w"))
     return out.select("pid", F.col("w.tile_id").alias("winner"), F.col("w.distance_m").alias("distance_m"))
 
@@ -194,12 +215,12 @@ def tile_winner(spark, sf_dir):
 
 @query(f"{KNN} {best('pool', 10)}")
 def knn_tiled(spark, sf_dir):
-    return knn.tiled(view(spark, sf_dir, "queries_pts"), view(spark, sf_dir, "articles_d"), 10)
+    return knn.tiled(view(spark, sf_dir, "queries_pts"), index(spark, sf_dir), 10)
 
 
 @query(f"{KNN}, lit AS (SELECT * FROM pool WHERE weight >= 104) {best('lit', 10)}")
 def knn_highlights(spark, sf_dir):
-    return knn.tiled(view(spark, sf_dir, "queries_pts"), view(spark, sf_dir, "articles_d"), 10, 104)
+    return knn.tiled(view(spark, sf_dir, "queries_pts"), index(spark, sf_dir), 10, 104)
 
 
 GLOBAL = f"{ctes('articles_g', 'queries_pts')}, {distances()}, a AS ({located('articles_g')}), pool AS (SELECT q.pid, a.seq, a.title, a.x, a.y, a.z, a.weight, {DIST} AS distance_m FROM a, q)"
@@ -207,20 +228,20 @@ GLOBAL = f"{ctes('articles_g', 'queries_pts')}, {distances()}, a AS ({located('a
 
 @query(f"{GLOBAL} {best('pool', 5)}")
 def knn_global(spark, sf_dir):
-    return knn.everywhere(view(spark, sf_dir, "queries_pts"), view(spark, sf_dir, "articles_g"), 5)
+    return knn.everywhere(view(spark, sf_dir, "queries_pts"), index(spark, sf_dir, "articles_g"), 5)
 
 
 @query(f"{GLOBAL} {best('pool', 1)}")
 def nn1(spark, sf_dir):
-    return knn.everywhere(view(spark, sf_dir, "queries_pts"), view(spark, sf_dir, "articles_g"), 1)
+    return knn.everywhere(view(spark, sf_dir, "queries_pts"), index(spark, sf_dir, "articles_g"), 1)
 
 
 _C = vec("48.8584e0", "2.2945e0")
 
 
-@query(f"{ctes('articles_d')}, a AS ({located('articles_d')}), d AS (SELECT *, round(2 * asin(least(1e0, sqrt((x - {_C[0]}) * (x - {_C[0]}) + (y - {_C[1]}) * (y - {_C[1]}) + (z - {_C[2]}) * (z - {_C[2]})) / 2)) * {R}, 3) AS distance_m FROM a) SELECT title, {PLACE}, distance_m, weight FROM d ORDER BY distance_m, title LIMIT 20")
+@query(f"{D}, a AS ({located('members')} WHERE tile_id = '27-36'), d AS (SELECT *, round(2 * asin(least(1e0, sqrt((x - {_C[0]}) * (x - {_C[0]}) + (y - {_C[1]}) * (y - {_C[1]}) + (z - {_C[2]}) * (z - {_C[2]})) / 2)) * {R}, 3) AS distance_m FROM a) SELECT title, {PLACE}, distance_m, weight FROM d ORDER BY distance_m, title LIMIT 20")
 def knn_tile(spark, sf_dir):
-    return knn.one(view(spark, sf_dir, "articles_d"), 48.8584, 2.2945, 20)
+    return knn.one(index(spark, sf_dir), 48.8584, 2.2945, 20)
 
 
 RANKED = f"{KNN}, ranked AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY distance_m, title) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY pid, title ORDER BY distance_m, seq) AS dup FROM pool) WHERE dup = 1)"
@@ -228,7 +249,7 @@ RANKED = f"{KNN}, ranked AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER
 
 @query(f"{RANKED} SELECT pid, CAST(rn AS INTEGER) AS rank, title, distance_m FROM ranked WHERE rn > 10 AND rn <= 25")
 def rank_page(spark, sf_dir):
-    rows = knn.tiled(view(spark, sf_dir, "queries_pts"), view(spark, sf_dir, "articles_d"), 25).select("pid", "title", "distance_m")
+    rows = knn.tiled(view(spark, sf_dir, "queries_pts"), index(spark, sf_dir), 25).select("pid", "title", "distance_m")
     return knn.page(rows, 10, 25).select("pid", F.col("rn").alias("rank"), "title", "distance_m")
 
 
@@ -238,7 +259,7 @@ enough AS (SELECT pid, coalesce(min(CASE WHEN held >= 20 THEN ring END), 36) AS
 held AS (SELECT m.*, e.last, {DIST} AS distance_m FROM met m JOIN enough e USING (pid) JOIN q USING (pid) WHERE m.ring <= e.last)
 SELECT pid, CAST(rn AS INTEGER) AS rank, title, distance_m, CAST(last AS INTEGER) AS ring, total FROM (SELECT *, count(*) OVER (PARTITION BY pid) AS total, row_number() OVER (PARTITION BY pid ORDER BY distance_m, title) AS rn FROM held) WHERE rn > 5 AND rn <= 20""")
 def ring_page(spark, sf_dir):
-    return knn.ring_page(view(spark, sf_dir, "queries_pts"), view(spark, sf_dir, "articles_d"), 5, 20)
+    return knn.ring_page(view(spark, sf_dir, "queries_pts"), index(spark, sf_dir), 5, 20)
 
 
 _SEGMENTS = ["user_id AS key", "event_id * 37 % 5000 AS start", "event_id * 37 % 5000 + event_id % 90 AS end_"]
@@ -256,23 +277,26 @@ def segment_merge(spark, sf_dir):
 @query(f"""{RANKED}, a AS (SELECT pid, title FROM ranked WHERE rn <= 10), b AS (SELECT pid, title FROM ranked WHERE rn > 5 AND rn <= 15)
 SELECT coalesce(a.pid, b.pid) AS pid, coalesce(a.title, b.title) AS title, CASE WHEN a.pid IS NULL THEN 'new' WHEN b.pid IS NULL THEN 'removed' ELSE 'reuse' END AS kind FROM a FULL JOIN b ON a.pid = b.pid AND a.title = b.title""")
 def result_diff(spark, sf_dir):
-    rows = knn.tiled(view(spark, sf_dir, "queries_pts"), view(spark, sf_dir, "articles_d"), 15)
+    rows = knn.tiled(view(spark, sf_dir, "queries_pts"), index(spark, sf_dir), 15)
     return knn.diff(rows.where("rank <= 10"), rows.where("rank > 5"))
 
 
 
 
-@query("WITH l AS (SELECT doc_id AS id, 'local' AS origin FROM documents WHERE doc_id % 2 = 0), r AS (SELECT doc_id AS id, 'remote' AS origin FROM documents WHERE doc_id % 3 = 0) SELECT * FROM l UNION ALL SELECT * FROM r WHERE id NOT IN (SELECT id FROM l)")
+@query("WITH l AS (SELECT doc_id AS id, 'local' AS origin, n_chars FROM documents), r AS (SELECT doc_id + 100 AS id, 'remote' AS origin, n_chars FROM documents) SELECT * FROM l UNION ALL SELECT * FROM r WHERE id NOT IN (SELECT id FROM l)")
 def tile_pool_merge(spark, sf_dir):
+    """Two pools of whole tables that overlap but for a hundred ids at either end."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    pool = lambda n, name: docs.where(F.col("doc_id") % n == 0).select(F.col("doc_id").alias("id"), F.lit(name).alias("origin"))
-    return knn.pool_merge(pool(2, "local"), pool(3, "remote"))
+    pool = lambda by, name: docs.select((F.col("doc_id") + by).alias("id"), F.lit(name).alias("origin"), "n_chars")
+    return knn.pool_merge(pool(0, "local"), pool(100, "remote"))
 
 
-@query(f"{RANKED} SELECT r.pid, r.title, coalesce(s.source, 'none') AS summary, coalesce(s.n_chars, 0) AS chars FROM ranked r LEFT JOIN (SELECT 'Doc ' || doc_id AS title, source, n_chars FROM documents WHERE doc_id % 4 <> 0) s USING (title) WHERE rn <= 5")
+@query(f"{RANKED} SELECT r.pid, r.title, coalesce(s.source, 'none') AS summary, coalesce(s.n_chars, 0) AS chars FROM ranked r LEFT JOIN (SELECT 'Doc ' || doc_id AS title, CASE WHEN n_chars < 500 THEN NULL ELSE source END AS source, CASE WHEN n_chars < 500 THEN NULL ELSE n_chars END AS n_chars FROM documents) s USING (title) WHERE rn <= 5")
 def enrich_join(spark, sf_dir):
-    rows = knn.tiled(view(spark, sf_dir, "queries_pts"), view(spark, sf_dir, "articles_d"), 5).select("pid", "title")
-    facts = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 4 <> 0").select(F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), "source", "n_chars")
+    """Facts of the five nearest titles; short articles have no summary."""
+    rows = knn.tiled(view(spark, sf_dir, "queries_pts"), index(spark, sf_dir), 5).select("pid", "title")
+    known = lambda c: F.when(F.col("n_chars") >= 500, F.col(c)).alias(c)
+    facts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), known("source"), known("n_chars"))
     return rows.join(facts, "title", "left").select("pid", "title", F.coalesce("source", F.lit("none")).alias("summary"), F.coalesce("n_chars", F.lit(0)).alias("chars"))
 
 
@@ -309,19 +333,19 @@ def radar(m: str) -> str:
 
 @query(f"{RANKED}, m AS (SELECT pid, max(distance_m) AS m FROM ranked WHERE rn <= 10 GROUP BY pid), s AS (SELECT *, {radar('CASE WHEN m > 0 THEN m ELSE 1000 END')} AS step FROM m) SELECT pid, m AS farthest_m, step, CAST(greatest(3, ceil(CASE WHEN m > 0 THEN m ELSE 1000 END / step)) AS INTEGER) AS rings, step * greatest(3, ceil(CASE WHEN m > 0 THEN m ELSE 1000 END / step)) AS max_m FROM s")
 def radar_range(spark, sf_dir):
-    rows = knn.tiled(view(spark, sf_dir, "queries_pts"), view(spark, sf_dir, "articles_d"), 10).groupBy("pid").agg(F.max("distance_m").alias("farthest_m"))
+    rows = knn.tiled(view(spark, sf_dir, "queries_pts"), index(spark, sf_dir), 10).groupBy("pid").agg(F.max("distance_m").alias("farthest_m"))
     rings = text.radar_rings("farthest_m")
     return rows.select("pid", "farthest_m", text.radar_step("farthest_m").alias("step"), F.size(rings).alias("rings"), F.element_at(rings, -1).alias("max_m"))
 
 
-BLIPS = f"""{RANKED}, top AS (SELECT r.*, p.lat AS plat, p.lon AS plon, round(degrees(asin(greatest(-1e0, least(1e0, r.z)))), 6) AS alat, round(degrees(atan2(r.y, r.x)), 6) AS alon FROM ranked r JOIN queries_pts p USING (pid) WHERE rn <= 20),
+BLIPS = f"""{RANKED}, top AS (SELECT r.*, p.lat AS plat, p.lon AS plon, round(degrees(asin(greatest(-1e0, least(1e0, r.z)))), 6) AS alat, round(degrees(atan2(r.y, r.x)), 6) AS alon FROM ranked r JOIN queries_pts p USING (pid) WHERE rn <= {RADAR_BLIPS}),
 bear AS (SELECT *, fmod(degrees(atan2(sin(radians(alon) - radians(plon)) * cos(radians(alat)), cos(radians(plat)) * sin(radians(alat)) - sin(radians(plat)) * cos(radians(alat)) * cos(radians(alon) - radians(plon)))) + 360, 360e0) AS bearing FROM top),
 blips AS (SELECT pid, rn, title, round(150 * sqrt(least(distance_m, 500000e0) / 500000e0) * sin(radians(bearing - 30)), 4) AS bx, round(-150 * sqrt(least(distance_m, 500000e0) / 500000e0) * cos(radians(bearing - 30)), 4) AS b_y FROM bear)"""
 
 
 def _blips(spark, sf_dir):
     points = view(spark, sf_dir, "queries_pts")
-    rows = knn.tiled(points, view(spark, sf_dir, "articles_d"), 20)
+    rows = knn.tiled(points, index(spark, sf_dir), RADAR_BLIPS)
     full = rows.join(points.select("pid", F.col("lat").alias("plat"), F.col("lon").alias("plon")), "pid")
     x, y = text.blip(geo.bearing("plat", "plon", "lat", "lon"), F.col("distance_m"), F.lit(30.0), F.lit(500000.0), F.lit(150.0))
     return full.select("pid", F.col("rank").alias("rn"), "title", F.round(x, 4).alias("bx"), F.round(y, 4).alias("b_y"))

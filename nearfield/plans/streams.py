@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from nearfield.constants import DEBOUNCE_S, SESSION_TTL_S
 from nearfield.operators import knn, mesh, tiling
 from nearfield.plans.registry import R, chosen, hav, members, query
-from nearfield.plans.relational import D, _members, _shared
+from nearfield.plans.relational import D, _members, _shared, index
 from nearfield.sources import blob
 from nearfield.sources.views import VIEWS, ctes, view
 from nearfield.streaming import positions as stream
@@ -56,10 +56,9 @@ _ON = "positions_pts AS (SELECT event_id AS pid, lat, lon FROM positions)"
 
 @query(f"{ctes('positions', 'articles_d')}, {_ON}, {members('articles_d')}, {chosen('positions_pts')} SELECT pid, tile_id, kind FROM chosen")
 def stream_tiles(spark, sf_dir):
-    """Tiles of every position of the stream: a stream joined with the static tile table, batch by batch."""
-    tiles = _members(spark, sf_dir).select("tile_row", "tile_col").distinct()
-    positions = _replayed(spark, sf_dir, lambda s: s.select("user_id", "event_id", "lat", "lon"))
-    return tiling.for_positions(positions.select(F.col("event_id").alias("pid"), "lat", "lon"), tiles)
+    """Tiles of every position, chosen inside the stream against the stored index's tiles."""
+    codes = index(spark, sf_dir).codes
+    return _replayed(spark, sf_dir, lambda s: tiling.for_positions(s.select(F.col("event_id").alias("pid"), "lat", "lon"), codes))
 
 
 @query(f"{ctes('positions')} SELECT user_id, event_id FROM (SELECT *, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts) AS gap FROM positions) WHERE gap IS NULL OR gap >= {DEBOUNCE_S * 1000000}")

@@ -11,7 +11,7 @@ VIEWS = {
     "page_like": ("documents", "true", ["doc_id AS seq", "doc_id AS page_id", "CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS ns", "CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 0 END AS redirect", "concat('Doc_', doc_id % 900) AS title", "CASE WHEN doc_id % 13 = 0 THEN NULL ELSE n_chars END AS page_len"]),
     "geo_like": ("orders", "true", ["o_orderkey AS seq", "o_orderkey % 1200 AS page_id", "CASE WHEN o_orderkey % 17 = 0 THEN 'moon' ELSE 'earth' END AS globe", "CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE 1 END AS prim", "CASE WHEN o_orderkey % 19 = 0 THEN NULL WHEN o_orderkey % 23 = 0 THEN 0e0 ELSE (o_custkey * 7919 % 18201) / 100e0 - 91e0 END AS lat", "CASE WHEN o_orderkey % 23 = 0 THEN 0e0 ELSE (o_custkey * 104729 % 36201) / 100e0 - 181e0 END AS lon"]),
     "positions": ("events", "true", ["user_id AS user_id", "ts AS ts", "event_id AS event_id", "48.85e0 + (event_id * 37 % 200) / 100000e0 AS lat", "2.29e0 + (event_id * 53 % 200) / 100000e0 AS lon", "CASE WHEN event_type = 'error' THEN 'picked' ELSE 'gps' END AS source", "event_type AS event_type"]),
-    "queries_pts": ("customer", "c_custkey < 150", ["c_custkey AS pid", "38e0 + (c_custkey * 7907 % 2400) / 100e0 AS lat", "-14e0 + (c_custkey * 104723 % 3800) / 100e0 AS lon"]),
+    "queries_pts": ("customer", "true", ["c_custkey AS pid", "38e0 + (c_custkey * 7907 % 2400) / 100e0 AS lat", "-14e0 + (c_custkey * 104723 % 3800) / 100e0 AS lon"]),
 }
 
 

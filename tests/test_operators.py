@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearfield.functions import geo, text
-from nearfield.operators import extract, knn, mesh, tiling
+from nearfield.operators import extract, knn, mesh, store, tiling
 from nearfield.sources import blob, dump
 from nearfield.streaming import positions
 
@@ -150,14 +150,95 @@ def test_segments(spark):
     assert sorted(map(tuple, knn.merged_segments(rows).collect())) == [(1, 0, 9), (1, 10, 12), (2, 3, 4)]
 
 
-def test_entry_survives_without_the_corpus_package(spark, monkeypatch):
+def places(rng, n, spots):
+    """Places around the given spots: poles and the antimeridian included."""
+    out = []
+    for _ in range(n):
+        lat, lon = spots[rng.integers(len(spots))]
+        out.append((float(np.clip(lat + rng.normal() * 3, -90, 90)), float((lon + rng.normal() * 4 + 180) % 360 - 180)))
+    return out
+
+
+def nearest_by_all_pairs(articles, at, k):
+    """Titles by distance over the vectors as they are kept."""
+    def vector(lat, lon):
+        a, b = math.radians(lat), math.radians(lon)
+        return np.array([math.cos(a) * math.cos(b), math.cos(a) * math.sin(b), math.sin(a)])
+
+    kept = {t: np.floor(vector(*p) * 1e8 + 0.5).astype(float) / 1e8 for t, p in articles}
+    kept = {t: v.astype(np.float32).astype(float) for t, v in kept.items()}
+    far = [(round(2 * math.asin(min(1.0, float(np.linalg.norm(vector(*at) - v)) / 2)) * 6_371_000, 3), t) for t, v in kept.items()]
+    return sorted(far)[:k]
+
+
+def test_neighbours_equal_all_pairs(spark, tmp_path):
+    """Global and tiled search over a stored index against all pairs: dense and empty regions, poles, the antimeridian."""
+    rng = np.random.default_rng(12)
+    spots = [(89, 10), (-88, 170), (10, 179.5), (48.8, 2.3), (48.8, 2.3), (0, 0)]
+    held = [(f"t{k}", p) for k, p in enumerate(places(rng, 500, spots))]
+    rows = spark.createDataFrame([(k, t, *p, 100 * k) for k, (t, p) in enumerate(held)], "seq long, title string, lat double, lon double, len long")
+    index = store.build(rows, str(tmp_path / "index"))
+    asked = places(rng, 40, [*spots, (-40, -100)]) + [(90.0, 0.0), (-90.0, 0.0), (0.0, 180.0), (0.0, -180.0)]
+    at = spark.createDataFrame([(k, *p) for k, p in enumerate(asked)], "pid long, lat double, lon double")
+    for k in (1, 7):
+        got = {}
+        for r in knn.everywhere(at, index, k).orderBy("pid", "rank").collect():
+            got.setdefault(r.pid, []).append((r.distance_m, r.title))
+        for pid, p in enumerate(asked):
+            want = nearest_by_all_pairs(held, p, k)
+            assert [t for _, t in got[pid]] == [t for _, t in want] and np.allclose([d for d, _ in got[pid]], [d for d, _ in want], atol=0.01)
+    chosen = {}
+    for r in tiling.for_positions(at, index.codes).collect():
+        chosen.setdefault(r.pid, set()).add(r.tile_id)
+    pool = {}
+    for r in index.members.collect():
+        pool.setdefault(r.tile_id, set()).add(r.title)
+    known = dict(held)
+    got = {}
+    for r in knn.tiled(at, index, 5).orderBy("pid", "rank").collect():
+        got.setdefault(r.pid, []).append(r.title)
+    for pid, p in enumerate(asked):
+        titles = set().union(*[pool[t] for t in chosen[pid]])
+        assert got[pid] == [t for _, t in nearest_by_all_pairs([(t, known[t]) for t in titles], p, 5)]
+
+
+def test_manifest_shape(spark, tmp_path):
+    """No manifest, no JSON or another shape is no index; a title is kept once."""
+    import json
+
+    path = tmp_path / "index"
+    assert store.read(spark, str(path)) is None and knn.nearby(spark.createDataFrame([(1, 0.0, 0.0)], "pid long, lat double, lon double"), None, 3).count() == 0
+    rows = spark.createDataFrame([(k, f"t{k % 5}", 1.0 + k / 10, 1.0, 10) for k in range(9)], "seq long, title string, lat double, lon double, len long")
+    built = store.build(rows, str(path))
+    held = store.read(spark, str(path))
+    assert held.manifest == built.manifest and held.tiles.count() == 1 and held.members.count() == held.articles.count() == 5
+    assert held.manifest["hash"] == store.combined([t["hash"] for t in held.manifest["tiles"]])
+    good = held.manifest
+    bad = ["{", "[]", "null", json.dumps({**good, "version": 99}), json.dumps({**good, "tiles": {}}), json.dumps({**good, "gridDeg": 10}), json.dumps({k: v for k, v in good.items() if k != "hash"})]
+    bad += [json.dumps({**good, "tiles": [{**good["tiles"][0], **x}]}) for x in ({"row": 36}, {"col": -1}, {"articles": "5"}, {"bytes": None}, {"hash": 7})]
+    for text_ in bad:
+        spark.createDataFrame([(text_,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+        assert store.read(spark, str(path)) is None
+    again = store.build(rows, str(path))
+    assert again.manifest["hash"] == good["hash"] and again.manifest["members"] != good["members"]
+    empty = store.build(rows.limit(0), str(tmp_path / "none"))
+    assert empty.tiles.count() == 0 and store.read(spark, empty.path).members.count() == 0
+    at = spark.createDataFrame([(1, 0.0, 0.0)], "pid long, lat double, lon double")
+    assert knn.tiled(at, empty, 3).count() == 0 and knn.everywhere(at, empty, 3).count() == 0
+
+
+def test_entry_without_the_corpus_package():
+    """A copy of the tree without the corpus folders still imports, and its other queries are there."""
+    import shutil
+    import subprocess
     import sys
-
-    import __spark_entry__ as e
-
-    assert "knn_tiled" in e.queries()
-    for name in [m for m in sys.modules if m.startswith("nearfield.llm") or m == "corpus_pipeline"]:
-        monkeypatch.delitem(sys.modules, name)
-    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
-    with pytest.raises(ImportError):
-        import corpus_pipeline  # noqa: F401
+    import tempfile
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    with tempfile.TemporaryDirectory() as copy:
+        shutil.copytree(root / "nearfield", f"{copy}/nearfield", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        shutil.copy(root / "__spark_entry__.py", copy)
+        code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); print(len(q), 'knn_tiled' in q, any(n.startswith('op') or n == 'pipeline' for n in q), set(s) <= set(q))"
+        out = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) > 60 and out[1:] == ["True", "False", "True"]
