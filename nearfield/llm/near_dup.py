@@ -9,7 +9,7 @@ Exactness without all pairs of a bucket:
    on. Rows are known by doc_id and a 64-bit hash of their text, so rows that share a doc_id keep their own texts and links.
 2. A bucket gives a star: its smallest node beside each other one. Confirmed stars give components.
 3. Buckets that still hold members of several components form clusters. A cluster's members are dealt to classes of set
-   size (a link joins neighbouring classes at most) and there to blocks of about ``BLOCK``; blocks meet in pairs, in tasks of
+   size (a link joins neighbouring classes at most) and there to blocks of at most about ``BLOCK``; blocks meet in pairs, in tasks of
    bounded size that hold the two blocks' full sets. Members of a component larger than a block have blocks of their own,
    which don't meet each other, so a giant group costs no more than the blocks outside of it. Within a task, pairs of
    different components whose signatures agree enough are confirmed on their full sets, and only links that join
@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 from nearfield.llm.common import WORD_CLASS, released, table, written
 
 ROWS, BANDS, TILE, BLOCK, SALTS, HOT = 8, 56, 1 << 15, 512, 16, 10_000
+SMALL = 1 << 14
 #: Least and most bits of the bitmap of candidates.
 FILTER = (1 << 20, 1 << 26)
 #: Pairs in blocks go on if their estimated similarity is at most so far below the threshold.
@@ -196,7 +197,9 @@ def block_links(members: DataFrame, percent: int) -> DataFrame:
     spread = spread.join(salted(pooled), [*group, "salt"])
     lent = salted(owners).withColumnRenamed("owner", "component").withColumn("owner", F.col("component"))
     spread = spread.join(lent, [*group, "component", "salt"], "left")
-    n_blocks = F.ceil(F.coalesce("size", "pool") / BLOCK)
+    members_ = F.coalesce("size", "pool")
+    # Small pools have smaller blocks: their few block pairs are then many tasks too.
+    n_blocks = F.ceil(members_ / F.when(members_ > SMALL, BLOCK).otherwise(min(BLOCK, 128)))
     placed = spread.withColumn("number", F.pmod(F.xxhash64("node", F.lit(1)), n_blocks))
     laid = written(placed.select(*group, "salt", "node", "component", "lower", "owner", "number"), "blocks")
     name = F.concat(F.coalesce(F.concat(F.lit("c"), F.col("owner")), F.lit("m")), F.lit("-"), F.col("number"))
@@ -229,6 +232,8 @@ def marked_rows(rows: DataFrame) -> bytes:
     table_ = words.toArrow()
     out = np.zeros(size // 64, np.int64)
     out[table_.column("word").to_numpy()] = table_.column("bits").to_numpy()
+    del table_
+    pa.default_memory_pool().release_unused()
     return out.tobytes()
 
 
@@ -250,14 +255,14 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _with_least(rows: DataFrame, n: int) -> DataFrame:
-    """Each of ``n`` ``rows(u, v)`` with ``m``, the least v of its u. Nodes with more than a ``HOT``-th of the rows are lent to
-    every task (``HOT`` of them at most: they are broadcast), so no task takes all rows of a hot node."""
-    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    limit = max(1000, n // HOT)
-    if n <= limit:
+    """Each of ``n`` ``rows(u, v)`` with ``m``, the least v of its u. Nodes with more than a ``HOT``-th of the rows, ``HOT`` of them
+    at most, are lent to every task, so no task takes all rows of a hot node."""
+    least, limit = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), max(1000, n // HOT)
+    hot = least.where(F.col("n") > limit).select("u", "m").collect() if n > limit else []
+    if not hot:
         return rows.join(least.drop("n"), "u")
-    hot = F.broadcast(least.where(F.col("n") > limit).select("u", "m"))
-    return rows.join(hot, "u").unionByName(rows.join(hot, "u", "left_anti").join(least.where(F.col("n") <= limit).drop("n"), "u"))
+    lent = F.broadcast(rows.sparkSession.createDataFrame(hot, "u long, m long"))
+    return rows.join(lent, "u").unionByName(rows.join(lent, "u", "left_anti").join(least.drop("n"), "u"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -270,8 +275,9 @@ def components(links: DataFrame) -> DataFrame:
         large = _with_least(both, 2 * mark[0]).withColumn("m", F.least("u", "m"))
         large = large.where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: a node and its smaller neighbours take the smallest of them.
-        small = _with_least(large, 2 * mark[0]).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.unionByName(large.groupBy("u").agg(F.min("v").alias("v"))).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = small.unionByName(least.withColumnRenamed("m", "v")).distinct()
         before, edges = edges, written(small, "links")
         released(before)
         row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % (1 << 31)).alias("h")).head()

@@ -28,22 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm.chunks import Memory
 from nearfield.llm.common import released, table, written
 
 GRAM = 5
 POSITIVE, UNLABELLED, LIFT, SHARE = 3_000, 9_000, 2.0, 0.004
-THRESHOLD, REMEMBERED = 0.7, 100_000
-LETTERS = re.compile(r"[^\W\d_]+")
+THRESHOLD, BLOCK = 0.7, 1 << 20
+#: Words are runs of letters; this is what stands between them.
+OTHERS = re.compile(r"[\W\d_]+")
 SCORES = "doc_id long, score double"
 
 
-def grams(word: str) -> list[int]:
-    """Runs of a folded word with its ends marked, as numbers of ``GRAM`` bytes; a shorter word is one run."""
-    held = f"<{word}>".encode()
-    return [int.from_bytes(held[k : k + GRAM]) for k in range(max(1, len(held) - GRAM + 1))]
-
-
 def held_out():
     """Rows whose labels are never learnt from."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -59,26 +53,105 @@ class Model:
 
 def _present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = []
-        for text in batch.column(1):
-            words = set(LETTERS.findall((text.as_py() or "").lower()))
-            found.append(np.unique(np.array([g for w in words for g in grams(w)], np.int64)))
+        found = [np.unique(np.concatenate([run for _, run in runs([text.as_py()])])) for text in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64())), batch.column(2)], ["positive", "grams", "doc_id"])
 
 
+def runs(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, run) of all runs of the texts, about ``BLOCK`` bytes at a time; a run comes as often as it stands there.
+
+    Words are written as <word> with a blank between, so runs are windows of ``GRAM`` bytes without a blank; a word too short for
+    one is a run itself. Blocks end at blanks, so a long text is no larger step than many short ones.
+    """
+    words = [f"<{OTHERS.sub('> <', (text or '').lower())}> ".encode() for text in texts]
+    ends, data = np.cumsum([len(x) for x in words]), np.frombuffer(b"".join(words) + b" " * GRAM, np.uint8)
+    del words
+    blanks, start, last = np.flatnonzero(data == 32), 0, len(data) - GRAM
+    while start < last:
+        stop = min(last, start + BLOCK)
+        if stop < last:
+            stop = int(blanks[np.searchsorted(blanks, stop)]) + 1  # a word is no longer than the text
+        n = stop - start
+        held, blank = np.zeros(n, np.int64), np.zeros(n, bool)
+        for k in range(GRAM):
+            own = data[start + k : stop + k]
+            held = held << 8 | own
+            blank |= own == 32
+        found = [(np.flatnonzero(~blank), held)]
+        opens = data[start:stop] == 60
+        for size in range(3, GRAM):  # <a> and <ab> are shorter than a run
+            short = opens & (data[start + size - 1 : stop + size - 1] == 62)
+            for k in range(1, size - 1):
+                short &= data[start + k : stop + k] > 62
+            found.append((np.flatnonzero(short), held >> 8 * (GRAM - size)))
+        at, run = np.concatenate([x for x, _ in found]), np.concatenate([y[x] for x, y in found])
+        yield np.searchsorted(ends, at + start, side="right"), run
+        start = stop
+
+
+def once(numbers: np.ndarray) -> np.ndarray:
+    """The distinct numbers, ascending: marked where they are dense, sorted where they are not."""
+    low = int(numbers.min()) if len(numbers) else 0
+    size = int(numbers.max()) - low + 1 if len(numbers) else 0
+    if not 0 < size <= min(1 << 27, 64 * len(numbers)):
+        return np.unique(numbers)
+    marks = np.zeros(size, bool)
+    marks[numbers - low] = True
+    return np.flatnonzero(marks) + low
+
+
+class Places:
+    """The places of ``chosen`` runs: a table by hash, and a sorted rest for those that share an entry."""
+
+    def __init__(self, chosen: np.ndarray):
+        self.chosen, bits = chosen, max(12, (64 * len(chosen)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.table = np.full(1 << bits, -1, np.int32)
+        self.table[self.entry(chosen)] = np.arange(len(chosen))
+        self.rest = np.flatnonzero(self.table[self.entry(chosen)] != np.arange(len(chosen)))
+
+    def entry(self, run: np.ndarray) -> np.ndarray:
+        return (run.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
+
+    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(row, place) of the chosen runs that the texts hold, each pair once, ascending."""
+        width, out = max(1, len(self.chosen)), []
+        for row, run in runs(texts):
+            place = self.table[self.entry(run)]
+            taken = np.flatnonzero(place >= 0)
+            row, run, place = row[taken], run[taken], place[taken].astype(np.int64)
+            right = self.chosen[place] == run
+            pairs = row[right] * width + place[right]
+            if len(self.rest):
+                other, of = run[~right], row[~right]
+                spot = np.minimum(np.searchsorted(self.chosen[self.rest], other), len(self.rest) - 1)
+                same = self.chosen[self.rest[spot]] == other
+                pairs = np.concatenate([pairs, of[same] * width + self.rest[spot[same]]])
+            out.append(once(pairs))
+        pairs = np.unique(np.concatenate(out)) if len(out) > 1 else out[0] if out else np.zeros(0, np.int64)
+        return pairs // width, pairs % width
+
+
+def parts(texts: pa.Array) -> Iterator[list[str | None]]:
+    """The texts, a few megabytes at a time."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text.as_py())
+        size += len(held[-1] or "")
+        if size >= BLOCK:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _counted(batches: Iterator[pa.RecordBatch], chosen: np.ndarray) -> Iterator[pa.RecordBatch]:
     """In how many texts each of the ``chosen`` runs is; -1 stands for the number of texts."""
-    place, rows, total = {g: k for k, g in enumerate(chosen.tolist())}, 0, np.zeros(len(chosen), np.int64)
-    known = Memory(lambda word: tuple([place[g] for g in grams(word) if g in place]), REMEMBERED)
+    places, rows, total = Places(chosen), 0, np.zeros(len(chosen), np.int64)
     for batch in batches:
-        held: list[int] = []
-        for text in batch.column(0):
-            present: set[int] = set()
-            for found in map(known.__getitem__, set(LETTERS.findall((text.as_py() or "").lower()))):
-                present.update(found)
-            held.extend(present)
-        rows += batch.num_rows
-        total += np.bincount(np.array(held, np.int64), minlength=len(chosen))
+        for texts in parts(batch.column(0)):
+            rows += len(texts)
+            total += np.bincount(places.of(texts)[1], minlength=len(chosen))
     seen = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(chosen[seen], -1), pa.int64()), pa.array(np.append(total[seen], rows), pa.int64())], ["gram", "n"])
 
@@ -129,6 +202,8 @@ def sample(docs: DataFrame, labels: DataFrame, positive: int, unlabelled: int) -
     p, u = [], []
     for is_positive, runs in zip(*(sparse.column(x).to_pylist() for x in ("positive", "grams")), strict=True):
         (p if is_positive else u).append(np.frombuffer(runs, np.int64))
+    del sparse
+    pa.default_memory_pool().release_unused()
     return p, u, prior
 
 
@@ -191,30 +266,27 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return Model({int(g): float(x) for g, x in zip(chosen, w[:-1], strict=True)}, float(w[-1]))
 
 
-class WordFeatures:
-    """Folded word -> its grams that have weights, remembered within bounds."""
+class Scorer:
+    """Scores of texts under a model."""
 
     def __init__(self, model: Model):
-        self.model = model
-        self.known = Memory(lambda word: tuple([g for g in grams(word) if g in model.features]), REMEMBERED)
-
+        chosen = np.array(sorted(model.features), np.int64)
+        self.bias, self.weights, self.places = model.bias, np.array([model.features[g] for g in chosen.tolist()], float), Places(chosen)
 
-def score(text: str | None, known: WordFeatures) -> float:
-    if known.model.bias == float("-inf"):
-        return 0.0
-    present: set[int] = set()
-    for found in map(known.known.__getitem__, set(LETTERS.findall((text or "").lower()))):
-        if found:
-            present.update(found)
-    z = known.model.bias + sum([known.model.features[g] for g in sorted(present)])
-    return float(1 / (1 + np.exp(-np.clip(z, -700, 700))))
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        if self.bias == float("-inf") or not len(texts):
+            return np.zeros(len(texts))
+        sums = []
+        for held in parts(texts):
+            row, place = self.places.of(held)
+            sums.append(np.bincount(row, self.weights[place], len(held)))
+        return 1 / (1 + np.exp(-np.clip(self.bias + np.concatenate(sums), -700, 700)))
 
 
 def _scores(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    known = WordFeatures(model)
+    scorer = Scorer(model)
     for batch in batches:
-        found = [score(x.as_py(), known) for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["doc_id", "score"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer.scores(batch.column(1)), pa.float64())], ["doc_id", "score"])
 
 
 def trained(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, unlabelled: int = UNLABELLED) -> Model:
@@ -227,10 +299,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def _clean(batches: Iterator[pa.RecordBatch], model: Model, threshold: float) -> Iterator[pa.RecordBatch]:
-    known = WordFeatures(model)
+    scorer = Scorer(model)
     for batch in batches:
-        keep = pa.array([score(x.as_py(), known) < threshold for x in batch.column("text")], pa.bool_())
-        yield batch.filter(keep)
+        yield batch.filter(pa.array(scorer.scores(batch.column("text").cast(pa.string())) < threshold, pa.bool_()))
 
 
 def cleaned(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

@@ -11,6 +11,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -315,11 +316,12 @@ def test_toxicity_of_long_clean_texts_of_unseen_words(spark):
     rows = [(k, " ".join(draw.sample(common, 40) + (draw.sample(toxic, 8) if k % 5 == 0 else []))) for k in range(900)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     model = toxicity.trained(docs, spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(900)], "doc_id long, toxic int"))
-    known = toxicity.WordFeatures(model)
+    scorer = toxicity.Scorer(model)
+    score = lambda text: float(scorer.scores(pa.array([text]))[0])
     signs = [chr(x) for x in range(0x4E00, 0x9FA5)]
-    assert toxicity.score(" ".join(draw.sample(toxic, 8)), known) >= toxicity.THRESHOLD
-    unseen = toxicity.score("漢", known)
-    assert all(toxicity.score(" ".join(word(signs, 4) for _ in range(20_000)), known) == unseen < toxicity.THRESHOLD for _ in range(3))
+    assert score(" ".join(draw.sample(toxic, 8))) >= toxicity.THRESHOLD
+    unseen = score("漢")
+    assert all(score(" ".join(word(signs, 4) for _ in range(20_000))) == unseen < toxicity.THRESHOLD for _ in range(3))
 
 
 def brute_sets(rows, words):
