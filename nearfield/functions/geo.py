@@ -127,6 +127,13 @@ def unwrapped_lon(lon, center) -> Column:
     return col(lon) - turns * 360
 
 
+def in_view(lat, lon, box: dict) -> Column:
+    """Inside of a box, whole turns of longitude aside."""
+    west, east = F.lit(float(box["west"])), F.lit(float(box["east"]))
+    turns = [(col(lon) + turn).between(west, east) for turn in (0, 360, -360)]
+    return col(lat).between(F.lit(float(box["south"])), F.lit(float(box["north"]))) & (turns[0] | turns[1] | turns[2])
+
+
 def ring(row1, col1, row2, col2) -> Column:
     """Chebyshev distance of two tiles; columns wrap."""
     dr, dc = F.abs(col(row1) - col(row2)), F.abs(col(col1) - col(col2))

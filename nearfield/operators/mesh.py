@@ -7,12 +7,15 @@ apart by a tiny fixed pseudo-random step, so every row stays a vertex. One task
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.constants import BACK_DET, DEGENERATE_DET, MAX_EDGE_RAD
+from nearfield.functions import geo
 
 TRIANGLES = "tile_id string, t int, v array<int>, n array<int>"
 STEP = 1e-6
@@ -97,6 +100,45 @@ def hull(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return v[alive], place[nb[alive]]
 
 
+def orient(a, b, c, d) -> float:
+    """Six times the signed volume of a tetrahedron, positive where d lies behind a, b, c as seen counter-clockwise from the
+    front; its sign is exact: where rounding could change it, whole fractions decide."""
+    rows = [[float(y) - float(x) for x, y in zip(a, p, strict=True)] for p in (b, c, d)]
+    terms = [(rows[0][i], rows[1][j], rows[2][k], s) for i, j, k, s in ((0, 1, 2, 1), (1, 2, 0, 1), (2, 0, 1, 1), (0, 2, 1, -1), (1, 0, 2, -1), (2, 1, 0, -1))]
+    value = -sum(s * x * y * z for x, y, z, s in terms)
+    if abs(value) > 1e-14 * sum(abs(x * y * z) for x, y, z, _ in terms):
+        return value
+    exact = [[Fraction(float(y)) - Fraction(float(x)) for x, y in zip(a, p, strict=True)] for p in (b, c, d)]
+    return -float(sum(s * exact[0][i] * exact[1][j] * exact[2][k] for i, j, k, s in ((0, 1, 2, 1), (1, 2, 0, 1), (2, 0, 1, 1), (0, 2, 1, -1), (1, 0, 2, -1), (2, 1, 0, -1))))
+
+
+def circles(points: np.ndarray, faces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Circumcentre (on the sphere, outward) and angular radius of each face."""
+    a, b, c = (points[faces[:, k]] for k in range(3))
+    normal = np.cross(b - a, c - a)
+    normal /= np.maximum(np.linalg.norm(normal, axis=1, keepdims=True), 1e-300)
+    return normal, np.arccos(np.clip((normal * a).sum(axis=1), -1, 1))
+
+
+def compacted(points: np.ndarray, faces: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Points that a face has, faces renumbered, and each kept point's old number."""
+    used = np.unique(faces)
+    return points[used], np.searchsorted(used, faces), used
+
+
+def walk(points: np.ndarray, faces: np.ndarray, neighbours: np.ndarray, place, start: int = 0) -> list[int]:
+    """The faces crossed from ``start`` to the one that holds ``place``: the way of a query, last the face found."""
+    way = [start]
+    while len(way) <= max(len(faces), 100):
+        v = points[faces[way[-1]]]
+        sides = [float(np.cross(v[e], v[(e + 1) % 3]) @ place) for e in range(3)]
+        out = next((e for e in range(3) if sides[e] < 0), None)
+        if out is None:
+            break
+        way.append(int(neighbours[way[-1]][out]))
+    return way
+
+
 def mesh_of(tile: pd.DataFrame) -> pd.DataFrame:
     """Triangles of one tile's rows (x, y, z) in order of seq; none where the points give no hull."""
     rows = tile.sort_values(["seq", "title"])
@@ -134,6 +176,25 @@ def drawn(mesh: DataFrame, vertices: DataFrame) -> DataFrame:
     return edges(mesh).join(a, ["tile_id", "a"]).join(b, ["tile_id", "b"]).where(2 * F.asin(F.least(F.lit(1.0), chord / 2)) <= MAX_EDGE_RAD)
 
 
+def segments(edges_: DataFrame, center, clip: dict | None = None) -> DataFrame:
+    """``drawn`` edges as pairs of places with longitudes unwrapped around ``center``; with ``clip`` those of which an end lies in
+    the box, whole turns of longitude aside."""
+    out = edges_
+    for end in "ab":
+        lat, lon = geo.latlon(f"{end}x", f"{end}y", f"{end}z")
+        out = out.withColumns({f"{end}_lat": lat, f"{end}_lon": geo.unwrapped_lon(lon, geo.col(center))})
+    if clip:
+        out = out.where(geo.in_view("a_lat", "a_lon", clip) | geo.in_view("b_lat", "b_lon", clip))
+    return out.select("tile_id", "a", "b", "a_lat", "a_lon", "b_lat", "b_lon")
+
+
+def vertex_neighbours(mesh: DataFrame, masked: DataFrame | None = None) -> DataFrame:
+    """(tile_id, v, neighbours): vertices that share a triangle, those of ``masked(tile_id, t)`` aside."""
+    kept = mesh if masked is None else mesh.join(masked, ["tile_id", "t"], "left_anti")
+    pairs = kept.select("tile_id", F.explode(F.expr("flatten(transform(sequence(0, 2), e -> array(struct(v[e] AS v, v[(e + 1) % 3] AS w), struct(v[e] AS v, v[(e + 2) % 3] AS w))))")).alias("p"))
+    return pairs.groupBy("tile_id", F.col("p.v").alias("v")).agg(F.array_sort(F.collect_set("p.w")).alias("neighbours"))
+
+
 def back_faces(mesh: DataFrame, vertices: DataFrame) -> DataFrame:
     """Triangles that close the lens behind a patch: turned away, or flat with an edge over a degree."""
     out = mesh.select("tile_id", "t", *[F.col("v")[k].alias(f"v{k}") for k in range(3)])

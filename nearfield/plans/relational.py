@@ -7,12 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from nearfield.constants import CACHED_TILES, RADAR_BLIPS
-from nearfield.functions import geo, text
+from nearfield.functions import geo, paging, text
 from nearfield.operators import extract, knn, store, tiling
 from nearfield.plans.registry import COL, DIST, PLACE, ROW, R, best, chosen, distances, located, members, query, tid, vec, weight
 from nearfield.sources import dump
 from nearfield.session import shared_root
 from nearfield.sources.views import VIEWS, ctes, view
+from nearfield.streaming import positions
 
 # --- extraction -------------------------------------------------------------------------------------------------------
 
@@ -262,6 +263,22 @@ def ring_page(spark, sf_dir):
     return knn.ring_page(view(spark, sf_dir, "queries_pts"), index(spark, sf_dir), 5, 20)
 
 
+LIT = f"lit AS (SELECT pid, title, row_number() OVER (PARTITION BY pid ORDER BY distance_m, title) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY pid, title ORDER BY distance_m, seq) AS dup FROM pool WHERE weight >= 60) WHERE dup = 1)"
+
+
+@query(f"{RANKED}, {LIT}, b AS (SELECT coalesce(a.pid, l.pid) AS pid, a.rn AS x, l.rn AS y FROM (SELECT * FROM ranked WHERE rn <= 5) a FULL JOIN (SELECT * FROM lit WHERE rn <= 5) l ON a.pid = l.pid AND a.title = l.title) SELECT pid, CASE WHEN max(CASE WHEN x = y THEN 0 ELSE 1 END) = 1 THEN 'list' ELSE 'distances' END AS change, bool_or(x IS NULL OR y IS NULL) AS set_differs FROM b GROUP BY pid")
+def result_change(spark, sf_dir):
+    """All articles against those of some weight: where the ordered titles are the same, distances alone change."""
+    held, points = index(spark, sf_dir), view(spark, sf_dir, "queries_pts")
+    return positions.result_change(knn.tiled(points, held, 5), knn.tiled(points, held, 5, 60))
+
+
+@query(f"{RANKED} SELECT pid, array_to_string(list(title ORDER BY rn), '|') AS queue FROM ranked WHERE rn <= 8 GROUP BY pid")
+def enrich_queue(spark, sf_dir):
+    rows = knn.tiled(view(spark, sf_dir, "queries_pts"), index(spark, sf_dir), 8)
+    return positions.enrich_queue(rows, 8).select("pid", F.array_join("titles", "|").alias("queue"))
+
+
 _SEGMENTS = ["user_id AS key", "event_id * 37 % 5000 AS start", "event_id * 37 % 5000 + event_id % 90 AS end_"]
 
 
@@ -274,6 +291,27 @@ def segment_merge(spark, sf_dir):
     return knn.merged_segments(rows)
 
 
+@query(f"""WITH s AS (SELECT {', '.join(_SEGMENTS)} FROM events), k AS (SELECT * FROM s WHERE start < end_),
+b AS (SELECT *, max(end_) OVER (PARTITION BY key ORDER BY start, end_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM k),
+i AS (SELECT *, sum(CASE WHEN before >= start THEN 0 ELSE 1 END) OVER (PARTITION BY key ORDER BY start, end_) AS island FROM b),
+m AS (SELECT key, min(start) AS start, max(end_) AS end_ FROM i GROUP BY key, island),
+q AS (SELECT key, count(*) AS n, sum(end_ - start) AS total, min(start) AS low, max(end_) AS high, key * 31 % 5000 AS a, key * 31 % 5000 + 100 AS b FROM m GROUP BY key),
+c AS (SELECT q.*, coalesce((SELECT max(end_) FROM m WHERE m.key = q.key AND m.start <= q.a AND m.end_ > q.a), q.a) AS cursor FROM q),
+w AS (SELECT m.*, sum(end_ - m.start) OVER (PARTITION BY m.key ORDER BY m.start) - (end_ - m.start) AS before, sum(end_ - m.start) OVER (PARTITION BY m.key ORDER BY m.start DESC) - (end_ - m.start) AS after, greatest(0, total - 200) AS excess, a - low >= high - b AS from_low FROM m JOIN q USING (key)),
+e AS (SELECT key, start + CASE WHEN from_low THEN least(end_ - start, greatest(0, excess - before)) ELSE 0 END AS start, end_ - CASE WHEN from_low THEN 0 ELSE least(end_ - start, greatest(0, excess - after)) END AS end_ FROM w)
+SELECT c.key, CAST(c.n AS INTEGER) AS segments, EXISTS (SELECT 1 FROM m WHERE m.key = c.key AND m.start <= a AND m.end_ >= b) AS covered, CASE WHEN cursor < b THEN cursor END AS missing_start,
+CASE WHEN cursor < b THEN least(b, coalesce((SELECT min(start) FROM m WHERE m.key = c.key AND m.start > cursor), b)) END AS missing_end,
+CAST((SELECT sum(end_ - start) FROM e WHERE e.key = c.key AND start < end_) AS BIGINT) AS held, CAST((SELECT min(start) FROM e WHERE e.key = c.key AND start < end_) AS BIGINT) AS first, CAST((SELECT max(end_) FROM e WHERE e.key = c.key AND start < end_) AS BIGINT) AS last FROM c""")
+def window_state(spark, sf_dir):
+    """Loaded segments of each user against a request: is it covered, what is missing first, and what stays in a window of 200."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(*_SEGMENTS).withColumnRenamed("end_", "end")
+    held = knn.merged_segments(rows).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).cast(paging.SEGMENTS).alias("s"))
+    asked = held.withColumns({"a": F.col("key") * 31 % 5000, "b": F.col("key") * 31 % 5000 + 100})
+    out = asked.withColumns({"m": paging.first_missing("s", "a", "b"), "e": paging.evicted("s", "a", "b", 200)})
+    size = F.aggregate("e", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return out.select("key", F.size("s").alias("segments"), paging.covered("s", "a", "b").alias("covered"), F.col("m.start").alias("missing_start"), F.col("m.end").alias("missing_end"), size.alias("held"), F.element_at("e", 1)["start"].alias("first"), F.element_at("e", -1)["end"].alias("last"))
+
+
 @query(f"""{RANKED}, a AS (SELECT pid, title FROM ranked WHERE rn <= 10), b AS (SELECT pid, title FROM ranked WHERE rn > 5 AND rn <= 15)
 SELECT coalesce(a.pid, b.pid) AS pid, coalesce(a.title, b.title) AS title, CASE WHEN a.pid IS NULL THEN 'new' WHEN b.pid IS NULL THEN 'removed' ELSE 'reuse' END AS kind FROM a FULL JOIN b ON a.pid = b.pid AND a.title = b.title""")
 def result_diff(spark, sf_dir):

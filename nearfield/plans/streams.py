@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from nearfield.constants import DEBOUNCE_S, SESSION_TTL_S
+from nearfield.constants import PAGE_INFINITE, SESSION_TTL_S
+from nearfield.functions import paging
 from nearfield.operators import knn, mesh, tiling
 from nearfield.plans.registry import R, chosen, hav, members, query
 from nearfield.plans.relational import D, _members, _shared, index
@@ -25,19 +26,24 @@ def requery_fold(spark, sf_dir):
     return stream.accepted(view(spark, sf_dir, "positions"))
 
 
-def _replayed(spark, sf_dir, step):
-    """Run ``step`` over the events as a file stream until all are read; the sink's rows. Fails after ten minutes."""
+def _run(spark, sf_dir, sink) -> None:
+    """Run ``sink(events)`` (a writer) over the events as a file stream until all are read. Fails after ten minutes."""
     table, keep, columns = VIEWS["positions"]
     source = f"{sf_dir}/{table}.parquet"
     schema = spark.read.parquet(source).schema
     folder, pattern = source.rsplit("/", 1)
     reader = spark.readStream.schema(schema)
     events = reader.option("pathGlobFilter", pattern).parquet(folder) if not _is_folder(spark, source) else reader.parquet(source)
-    out, state = _shared(spark, "stream-out"), _shared(spark, "stream-state")
-    running = step(events.where(keep).selectExpr(*columns)).writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
+    running = sink(events.where(keep).selectExpr(*columns)).option("checkpointLocation", _shared(spark, "stream-state")).trigger(availableNow=True).start()
     if not running.awaitTermination(600):
         running.stop()
         raise TimeoutError("the stream did not end")
+
+
+def _replayed(spark, sf_dir, step):
+    """The rows of ``step(events)`` as a stream gives them."""
+    out = _shared(spark, "stream-out")
+    _run(spark, sf_dir, lambda events: step(events).writeStream.format("parquet").option("path", out))
     return spark.read.parquet(out)
 
 
@@ -61,9 +67,49 @@ def stream_tiles(spark, sf_dir):
     return _replayed(spark, sf_dir, lambda s: tiling.for_positions(s.select(F.col("event_id").alias("pid"), "lat", "lon"), codes))
 
 
-@query(f"{ctes('positions')} SELECT user_id, event_id FROM (SELECT *, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts) AS gap FROM positions) WHERE gap IS NULL OR gap >= {DEBOUNCE_S * 1000000}")
+#: Seconds that suit the spacing of the test events; the rule's own default is a third of a second.
+QUIET_S = 600
+
+
+@query(f"{ctes('positions')} SELECT user_id, event_id FROM (SELECT *, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts) AS gap FROM positions) WHERE gap IS NULL OR gap >= {QUIET_S * 1000000}")
 def debounce(spark, sf_dir):
-    return stream.debounced(view(spark, sf_dir, "positions"), DEBOUNCE_S).select("user_id", "event_id")
+    return stream.debounced(view(spark, sf_dir, "positions"), QUIET_S).select("user_id", "event_id")
+
+
+@query(f"{ctes('positions')} SELECT user_id, event_id FROM (SELECT *, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts) AS gap FROM positions) WHERE gap IS NULL OR gap >= {QUIET_S * 1000000}")
+def stream_debounce(spark, sf_dir):
+    """The same rule inside a stream: sessions of the state store, the last event of each."""
+    out = _shared(spark, "settled")
+
+    def step(events):
+        return stream.settled(events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour"), QUIET_S)
+
+    _run(spark, sf_dir, lambda events: step(events).writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)))
+    return spark.read.parquet(out)
+
+
+_MODES = ["event_id", "source", "event_id % 5 = 0 AS paused", "event_id % 700 AS known", "event_id % 300 AS loaded", "(event_id * 37 % 9000) / 1e0 AS top"]
+
+
+@query(f"{ctes('positions')}, m AS (SELECT {', '.join(_MODES)} FROM positions), n AS (SELECT *, CASE WHEN source = 'picked' OR paused THEN 'infinite' ELSE 'viewport' END AS mode, CAST(CASE WHEN loaded = 0 THEN 0 ELSE greatest(known, loaded) END AS BIGINT) AS room FROM m) SELECT event_id, mode, room, CAST(CASE WHEN room = 0 THEN 0 ELSE greatest(0, floor(top / 60) - 5) END AS BIGINT) AS first, CAST(CASE WHEN room = 0 THEN 0 ELSE least(room, ceil((top + 800) / 60) + 5) END AS BIGINT) AS last, CASE WHEN mode = 'infinite' THEN {PAGE_INFINITE} ELSE 14 END AS page FROM n")
+def scroll_modes(spark, sf_dir):
+    """Mode, room and visible range of each event; a page is 200 in infinite mode, else what a viewport of 800 px shows."""
+    rows = view(spark, sf_dir, "positions").selectExpr(*_MODES)
+    rows = rows.select("event_id", "top", paging.scroll_mode("source", F.col("paused")).alias("mode"), paging.expected_count("known", "loaded").cast("long").alias("room"))
+    first, last = paging.visible_range("top", F.lit(800.0), F.lit(60.0), "room")
+    return rows.select("event_id", "mode", "room", first.alias("first"), last.alias("last"), F.when(F.col("mode") == "infinite", PAGE_INFINITE).otherwise(14).alias("page"))
+
+
+_TURNS = ["event_id", "CASE WHEN event_id % 11 > 0 THEN (event_id * 53 % 3600) / 10e0 END AS shown", "CASE WHEN event_id % 13 > 0 THEN (event_id * 97 % 3600) / 10e0 END AS target", "(event_id * 7 % 400) / 1e0 AS ms", "event_id % 90 AS hops", "event_id % 40 AS steps", "event_id % 60 AS found"]
+
+
+@query(f"WITH t AS (SELECT {', '.join(_TURNS)} FROM events), a AS (SELECT *, fmod(target - shown + 540, 360e0) - 180 AS arc, least(4000e0, greatest(600e0, hops * 70e0)) AS l, least(1500e0, greatest(300e0, steps * 70e0)) AS d, least(1500e0, greatest(300e0, found * 40e0)) AS b FROM t) SELECT event_id, round(CASE WHEN target IS NULL THEN shown WHEN shown IS NULL OR abs(arc) < 0.2 THEN target ELSE fmod(shown + arc * least(1e0, ms / 250) + 360, 360e0) END, 6) AS heading, l + d + b + 900 AS total_end, CAST(CASE WHEN hops <= 0 OR ms * 10 <= 0 THEN 0 WHEN ms * 10 >= l THEN hops ELSE least(hops, floor(ms * 10 / l * hops)) END AS BIGINT) AS drawn FROM a")
+def heading_walk(spark, sf_dir):
+    """One frame of a turning heading, and a replay's length and progress."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(*_TURNS)
+    times = paging.walk_timeline("hops", "steps", "found")
+    drawn = paging.phase_index(F.col("ms") * 10, F.lit(0.0), times["locate_end"], "hops")
+    return rows.select("event_id", F.round(paging.turned("shown", "target", "ms"), 6).alias("heading"), times["total_end"].alias("total_end"), drawn.alias("drawn"))
 
 
 @query("WITH e AS (SELECT user_id, event_id, event_id % 3 AS generation FROM events), c AS (SELECT DISTINCT user_id, user_id % 3 AS generation FROM events) SELECT e.* FROM e JOIN c USING (user_id, generation)")

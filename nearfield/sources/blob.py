@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import json
 import struct
+import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from nearfield.operators.mesh import hull
 
@@ -79,6 +82,44 @@ def blobs(members: DataFrame) -> DataFrame:
     return members.select("tile_id", "seq", "title", "weight", "x", "y", "z").groupBy("tile_id").applyInPandas(_blob, BLOB)
 
 
+def exported(tiles: DataFrame, folder: str) -> DataFrame:
+    """Write each of ``tiles(tile_id, data)`` as <tile_id>.bin in ``folder``, which driver and executors must share; the paths. A
+    file appears whole: it is written beside its place and moved there."""
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Path(folder).mkdir(parents=True, exist_ok=True)
+        for batch in batches:
+            paths = []
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                target, part = Path(folder, f"{name}.bin"), Path(folder, f".{name}.{uuid.uuid4().hex}")
+                part.write_bytes(data.as_py())
+                part.replace(target)
+                paths.append(str(target))
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], ["path"])
+
+    return tiles.select("tile_id", "data").mapInArrow(files, "path string")
+
+
+def files(spark: SparkSession, folder: str) -> DataFrame:
+    """(tile_id, data) of the .bin files in a folder of any file system that Spark reads."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(folder)
+    return found.select(F.regexp_extract("path", r"([^/]+)\.bin$", 1).alias("tile_id"), F.col("content").alias("data"))
+
+
+def graph(tile: dict) -> dict:
+    """The arrays of ``decode`` as vertices (point and one triangle) and triangles (vertices and neighbours)."""
+    points = [{"point": tuple(map(float, p)), "triangle": int(t)} for p, t in zip(tile["points"], tile["incident"], strict=True)]
+    return {"vertices": points, "triangles": [{"vertices": tuple(map(int, v)), "neighbours": tuple(map(int, n))} for v, n in zip(tile["faces"], tile["neighbours"], strict=True)]}
+
+
+def arrays(found: dict) -> dict:
+    """The inverse of ``graph``; points are single precision, as kept."""
+    return {
+        "points": np.array([v["point"] for v in found["vertices"]], "<f4").reshape(-1, 3), "incident": np.array([v["triangle"] for v in found["vertices"]], "<u4"),
+        "faces": np.array([t["vertices"] for t in found["triangles"]], "<u4").reshape(-1, 3), "neighbours": np.array([t["neighbours"] for t in found["triangles"]], "<u4").reshape(-1, 3),
+    }
+
+
 def vertices(tiles: DataFrame) -> DataFrame:
     """The vertices of ``tiles(tile_id, data)``, one row each."""
 

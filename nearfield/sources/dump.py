@@ -1,7 +1,8 @@
 """SQL dumps: gzipped text with CREATE TABLE and INSERT lines; and line-delimited JSON.
 
 The header is read on the driver up to the table's end; INSERT lines go through one Arrow pass that cuts tuples and keeps
-the required columns. gzip can't be split, so one task reads a file; rows are dealt anew right after parsing.
+the required columns by their place; a tuple that ends before a place has null there. gzip can't be split, so one task reads
+a file; its parsed rows are dealt to all tasks by their number.
 """
 
 from __future__ import annotations
@@ -65,13 +66,13 @@ def scan(spark: SparkSession, path: str, table: str, required: list[str]) -> Dat
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for line, text in zip(batch.column(1).to_pylist(), batch.column(0), strict=True):
-                found = [(line, k, *[row[p] for p in places]) for k, row in enumerate(tuples(text.as_py()[len(prefix) :])) if len(row) == len(names)]
+                found = [(line, k, *[row[p] if p < len(row) else None for p in places]) for k, row in enumerate(tuples(text.as_py()[len(prefix) :]))]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if j < 2 else pa.string()) for j, x in enumerate(zip(*found, strict=True))], ["line", "pos", *required])
 
     schema = "line long, pos long, " + ", ".join(f"`{x}` string" for x in required)
     parsed = lines.where(F.col("value").startswith(prefix)).mapInArrow(rows, schema)
-    return parsed.withColumn("seq", F.struct("line", "pos")).drop("line", "pos")
+    return parsed.repartition("line", "pos").withColumn("seq", F.struct("line", "pos")).drop("line", "pos")
 
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Streams of positions: the movement rule, debounce, stale and expired rows, source sessions.
 
-Each rule has a batch form over stored events. The movement rule carries state (the last accepted place), so its batch form
-is an ordered fold of a user's events and its streaming form is ``applyInPandasWithState``.
+Each rule has a batch form over stored events. The movement rule carries state (the last accepted place): its batch form reads a
+user's events in order, its streaming form is ``applyInPandasWithState``.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,18 +25,24 @@ def micros(ts):
 
 
 def accepted(positions: DataFrame, metres: float = REQUERY_M) -> DataFrame:
-    """Events that query anew: the first of a user, then each at least ``metres`` from the last accepted one."""
-    kind = dict(positions.dtypes)["ts"]
-    item = f"struct<ts:{kind},event_id:bigint,lat:double,lon:double>"
-    events = F.array_sort(F.collect_list(F.struct("ts", F.col("event_id").cast("long").alias("event_id"), "lat", "lon")))
+    """Events that query anew: the first of a user, then each at least ``metres`` from the last accepted one.
 
-    def step(held, e):
-        last = F.try_element_at(held, F.lit(-1))
-        moved = geo.metres(geo.haversine(last["lat"], last["lon"], e["lat"], e["lon"])) >= metres
-        return F.when(last.isNull() | moved, F.concat(held, F.array(e))).otherwise(held)
+    Users' events are dealt by user and sorted; a task reads them in order and holds one place, however long a history is.
+    """
 
-    folded = positions.groupBy("user_id").agg(F.aggregate(events, F.array().cast(f"array<{item}>"), step).alias("held"))
-    return folded.select("user_id", F.explode("held").alias("e")).select("user_id", "e.event_id", "e.ts", "e.lat", "e.lon")
+    def rule(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, last = None, None
+        for batch in batches:
+            keep = []
+            for who, lat, lon in zip(*[batch.column(x).to_pylist() for x in ("user_id", "lat", "lon")], strict=True):
+                new = last is None or who != user or _moved(last, (lat, lon)) >= metres
+                if new:
+                    user, last = who, (lat, lon)
+                keep.append(new)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    rows = positions.select("user_id", "event_id", "ts", "lat", "lon")
+    return rows.repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id").mapInArrow(rule, rows.schema)
 
 
 def _moved(a: tuple[float, float], b: tuple[float, float]) -> float:
@@ -70,6 +77,31 @@ def debounced(events: DataFrame, seconds: float) -> DataFrame:
     return events.withColumn("gap", gap).where(F.col("gap").isNull() | (F.col("gap") >= int(seconds * 1_000_000))).drop("gap")
 
 
+def settled(stream: DataFrame, seconds: float) -> DataFrame:
+    """``debounced`` on a stream with a watermark on ts: the last event of each session that a pause of ``seconds`` ends."""
+    runs = stream.groupBy("user_id", F.session_window("ts", f"{int(seconds * 1000)} milliseconds").alias("w"))
+    return runs.agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id")).select("user_id", "event_id")
+
+
+def result_change(old: DataFrame, new: DataFrame) -> DataFrame:
+    """What a new result of ``rows(pid, rank, title)`` asks for: ``distances`` where the ordered titles are the same, else
+    ``list``; and whether the sets of titles differ. Rows of both results that agree in rank and title are counted, so no
+    result is gathered."""
+    a = old.select("pid", F.col("rank").alias("old_rank"), "title")
+    b = new.select("pid", F.col("rank").alias("new_rank"), "title")
+    both = a.join(b, ["pid", "title"], "full_outer")
+    one_sided = F.col("old_rank").isNull() | F.col("new_rank").isNull()
+    moved = F.coalesce(F.col("old_rank") != F.col("new_rank"), F.lit(True))
+    out = both.groupBy("pid").agg(F.max(moved).alias("moved"), F.max(one_sided).alias("set_differs"))
+    return out.select("pid", F.when(F.col("moved"), F.lit("list")).otherwise(F.lit("distances")).alias("change"), "set_differs")
+
+
+def enrich_queue(rows: DataFrame, most: int = 200) -> DataFrame:
+    """Of each ``rows(pid, rank, title)`` the distinct titles in order of rank, ``most`` ranks at most a page."""
+    page = rows.where(F.col("rank") <= most).groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("rank", "title"))).alias("page"))
+    return page.select("pid", F.array_distinct(F.transform("page", lambda x: x["title"])).alias("titles"))
+
+
 def current_generation(rows: DataFrame, control: DataFrame) -> DataFrame:
     """Rows of their user's current generation; others are stale."""
     return rows.join(control, ["user_id", "generation"], "left_semi")

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nearfield.functions import geo, text
+from nearfield import cli
+from nearfield.functions import geo, paging, text
 from nearfield.operators import extract, knn, mesh, store, tiling
 from nearfield.sources import blob, dump
 from nearfield.streaming import positions
@@ -102,6 +103,117 @@ def test_dump_needs_table_and_columns(spark, tmp_path):
         dump.scan(spark, str(path), "geo", ["c"])
 
 
+def test_dump_tuples_of_other_lengths(spark, tmp_path):
+    """Values are taken by their place; a tuple that ends before one has null there, and none is dropped."""
+    path = tmp_path / "t.sql.gz"
+    path.write_bytes(gzip.compress(b"CREATE TABLE `geo` (\n  `a` int,\n  `b` int\n);\nINSERT INTO `geo` VALUES (1,2),(3),(4,5,6);\n"))
+    assert [(r.a, r.b) for r in dump.scan(spark, str(path), "geo", ["a", "b"]).orderBy("seq").collect()] == [("1", "2"), ("3", None), ("4", "5")]
+
+
+def test_arguments_and_dump_paths():
+    assert cli.parsed([]) == cli.Options() and cli.parsed(["--limit=5", "--other", "--lang=de", "--bounds=1,2,3,4"]) == cli.Options("de", 5, {"west": 1, "south": 2, "east": 3, "north": 4})
+    for bad in ("--limit=0", "--limit=x", "--limit=", "--lang=xx", "--bounds=1,2,3", "--bounds=1,2,3,nan"):
+        with pytest.raises(ValueError):
+            cli.parsed([bad])
+    assert cli.dump_path("en", "page") == "data/dumps/enwiki-latest-page.sql.gz"
+    with pytest.raises(ValueError, match="no dump"):
+        cli.dump_path("en", "links")
+
+
+def test_labels_and_stored_values(spark):
+    size = lambda n: one(spark, text.bytes_label(F.lit(n)))[0]
+    assert [size(n) for n in (0, 1023, 1024, 1536, 5 << 20, 3 << 30)] == ["0 B", "1023 B", "1.0 KB", "1.5 KB", "5.0 MB", "3.0 GB"]
+    way = lambda p: one(spark, text.directions(F.lit(1.5), F.lit(-2.0), F.lit(p)))[0]
+    assert [way(p).split("1.5,-2.0")[0] for p in ("ios", "android", "web")] == ["https://maps.apple.com/?daddr=", "geo:", "https://www.google.com/maps/dir/?api=1&destination="]
+    boost = lambda a, b: one(spark, text.sweep_boost(F.lit(float(a)), F.lit(float(b))))[0]
+    assert (boost(10, 10), boost(10, 70), boost(10, 130), boost(350, 50), boost(10, 0)) == (1.0, 0.5, 0.0, 0.5, 0.0)
+    stored = lambda v: one(spark, text.or_default(F.lit(v).cast("string"), ("en", "de"), "en"))[0]
+    assert [stored(v) for v in ("de", "xx", None)] == ["de", "en", "en"]
+
+
+def test_landmarks_are_required(spark):
+    report = lambda *n: spark.createDataFrame([n], "matched long, missing long, mismatched long")
+    extract.require_canary(report(1, 5, 0))
+    extract.require_canary(report(0, 5, 0), bounded=True)
+    for bad, bounded in ((report(0, 5, 0), False), (report(3, 0, 1), False), (report(3, 0, 1), True)):
+        with pytest.raises(ValueError, match="landmark"):
+            extract.require_canary(bad, bounded)
+
+
+def test_windows_of_loaded_segments(spark):
+    """Covered and missing ranges at their ends, and eviction from the farther end."""
+    segments = F.expr("array(struct(0L AS start, 10L AS end), struct(20L AS start, 30L AS end))")
+    at = lambda a, b: tuple(one(spark, paging.covered(segments, F.lit(a), F.lit(b)).alias("c"), paging.first_missing(segments, F.lit(a), F.lit(b)).alias("m")))
+    assert [at(0, 10), at(3, 3), at(5, 15), at(10, 15), at(15, 40), at(25, 40), at(8, 25)] == [(True, None), (True, None), (False, (10, 15)), (False, (10, 15)), (False, (15, 20)), (False, (30, 40)), (False, (10, 20))]
+    kept = lambda a, b, n: [tuple(x) for x in one(spark, paging.evicted(segments, F.lit(a), F.lit(b), n))[0]]
+    assert kept(20, 30, 12) == [(8, 10), (20, 30)] and kept(0, 10, 12) == [(0, 10), (20, 22)] and kept(20, 30, 5) == [(25, 30)] and kept(0, 10, 99) == [(0, 10), (20, 30)]
+    flying = one(spark, F.array_sort(paging.in_flight(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("b"), F.lit("c")), F.array(F.lit("a")))))[0]
+    assert flying == ["b", "c"]
+
+
+def test_orientation_has_an_exact_sign():
+    a, b, c = (1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0)
+    assert mesh.orient(a, b, c, (0, 0, 0)) > 0 > mesh.orient(a, b, c, (1, 1, 1)) and mesh.orient(a, b, c, (1 / 4, 1 / 4, 1 / 2)) == 0
+    tiny = 2.0**-60  # far below the rounding of the plain formula
+    p, q, r = (0.1, 0.2, 0.3), (0.7, 0.1, 0.9), (0.4, 0.8, 0.5)
+    flat = tuple((x + y + z) / 3 for x, y, z in zip(p, q, r, strict=True))
+    from fractions import Fraction
+
+    def exact(d):
+        m = [[Fraction(y) - Fraction(x) for x, y in zip(p, v, strict=True)] for v in (q, r, d)]
+        return -(m[0][0] * (m[1][1] * m[2][2] - m[1][2] * m[2][1]) - m[0][1] * (m[1][0] * m[2][2] - m[1][2] * m[2][0]) + m[0][2] * (m[1][0] * m[2][1] - m[1][1] * m[2][0]))
+
+    for d in (flat, (flat[0], flat[1], flat[2] + tiny), (flat[0] + 2e-17, flat[1], flat[2]), tuple(np.nextafter(flat, 1))):
+        assert np.sign(mesh.orient(p, q, r, d)) == np.sign(float(exact(d)))
+
+
+def test_triangles_have_empty_circles_and_hold_their_places():
+    """The Delaunay property, circumcentres at one distance, and walks that end in the face that holds the place."""
+    rng = np.random.default_rng(21)
+    p = rng.normal(size=(250, 3))
+    p /= np.linalg.norm(p, axis=1, keepdims=True)
+    v, nb = mesh.hull(p)
+    centers, radii = mesh.circles(p, v)
+    for k in range(3):
+        assert np.allclose(np.arccos(np.clip((centers * p[v[:, k]]).sum(axis=1), -1, 1)), radii, atol=1e-4)
+    assert (np.arccos(np.clip(centers @ p.T, -1, 1)).min(axis=1) > radii - 1e-4).all()
+    for _ in range(50):
+        place = rng.normal(size=3)
+        way = mesh.walk(p, v, nb, place / np.linalg.norm(place), int(rng.integers(len(v))))
+        a, b, c = p[v[way[-1]]]
+        assert all(np.cross(x, y) @ place >= 0 for x, y in ((a, b), (b, c), (c, a))) and all(w in nb[u] for u, w in zip(way, way[1:], strict=False))
+    points, faces, used = mesh.compacted(np.vstack([p[:1], p]), v + 1)
+    assert (points == p).all() and (faces == v).all() and used.tolist() == list(range(1, 251))
+
+
+def test_drawn_segments_and_neighbours(spark):
+    rows = [("36-00", 0, 0.0, 179.9), ("36-00", 1, 0.5, -179.9), ("36-00", 2, -40.0, 0.0)]
+    x, y, z = geo.cartesian("lat", "lon")
+    vertices = spark.createDataFrame(rows, "tile_id string, v int, lat double, lon double").select("tile_id", "v", x.alias("x"), y.alias("y"), z.alias("z"))
+    triangles = spark.createDataFrame([("36-00", 0, [0, 1, 2], [1, 1, 1]), ("36-00", 1, [1, 0, 2], [0, 0, 0])], "tile_id string, t int, v array<int>, n array<int>")
+    found = mesh.segments(mesh.drawn(triangles, vertices), 178.0).collect()
+    assert [(round(r.a_lon, 6), round(r.b_lon, 6)) for r in found] == [(179.9, 180.1)]  # the long edges are left out
+    box = lambda w, e: {"south": -1, "north": 1, "west": w, "east": e}
+    assert [mesh.segments(mesh.drawn(triangles, vertices), 178.0, box(*b)).count() for b in ((179, 180), (-180.5, -179.5), (0, 10))] == [1, 1, 0]
+    assert {r.v: r.neighbours for r in mesh.vertex_neighbours(triangles).collect()} == {0: [1, 2], 1: [0, 2], 2: [0, 1]}
+    masked = triangles.select("tile_id", "t")
+    assert mesh.vertex_neighbours(triangles, masked).count() == 0
+
+
+def test_blob_files_and_graphs(spark, tmp_path):
+    p = np.array([[1, 0, 0], [-1, 0, 0], [0, 1, 0], [0, -1, 0], [0, 0, 1], [0, 0, -1.0]])
+    v, nb = mesh.hull(p)
+    data = blob.encode(p, v, nb, list("abcdef"), np.arange(6))
+    tiles = spark.createDataFrame([("18-36", bytearray(data)), ("18-37", bytearray(data))], "tile_id string, data binary")
+    assert len(blob.exported(tiles, str(tmp_path / "bin")).collect()) == 2
+    read = blob.files(spark, str(tmp_path / "bin"))
+    assert sorted((r.tile_id, bytes(r.data)) for r in read.collect()) == [("18-36", data), ("18-37", data)]
+    assert blob.vertices(read).count() == 12
+    tile = blob.decode(data)
+    back = blob.arrays(blob.graph(tile))
+    assert all((back[k] == tile[k]).all() for k in back)
+
+
 @pytest.mark.parametrize("n", [4, 50, 400])
 def test_hull_is_closed(n):
     rng = np.random.default_rng(n)
