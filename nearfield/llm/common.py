@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
 
@@ -58,6 +62,39 @@ def released(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Least and most bits of a bitmap.
+FILTER = (1 << 20, 1 << 26)
+
+
+def bitmap(rows: DataFrame, *columns: str) -> bytes:
+    """Bits in which the hash of every row's ``columns`` is set: a filter that passes all such rows and few others.
+
+    It has 16 bits a row within ``FILTER``, so FILTER / 64 words at most reach the driver. With more rows it passes more, which
+    a join that follows removes.
+    """
+    size = min(FILTER[1], max(FILTER[0], 1 << (16 * rows.count()).bit_length()))
+    spot = F.pmod(F.xxhash64(*columns), F.lit(size)).alias("spot")
+    words = rows.select(spot).groupBy(F.expr("spot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(spot % 64 as int)))").alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    del words
+    pa.default_memory_pool().release_unused()
+    return out.tobytes()
+
+
+def among(rows: DataFrame, held: bytes, *columns: str) -> DataFrame:
+    """The ``rows`` that a ``bitmap`` of the same columns passes; texts of the others are sent nowhere."""
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(held, np.int64)
+        for batch in batches:
+            spot = batch.column("__spot").to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array((bits[spot >> 6] >> (spot & 63)) & 1 == 1))
+
+    spotted = rows.withColumn("__spot", F.pmod(F.xxhash64(*columns), F.lit(8 * len(held))))
+    return spotted.mapInArrow(kept, spotted.schema).drop("__spot")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -38,12 +38,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import WORD_CLASS, released, table, written
+from nearfield.llm.common import WORD_CLASS, among, bitmap, released, table, written
 
 ROWS, BANDS, TILE, BLOCK, SALTS, HOT = 8, 56, 1 << 15, 512, 16, 10_000
 SMALL = 1 << 14
-#: Least and most bits of the bitmap of candidates.
-FILTER = (1 << 20, 1 << 26)
 #: Pairs in blocks go on if their estimated similarity is at most so far below the threshold.
 MARGIN = 0.10
 
@@ -221,29 +219,6 @@ def block_links(members: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def marked_rows(rows: DataFrame) -> bytes:
-    """A bitmap in which the hash of every row's doc_id and mark is set: a filter that passes all of them and few others.
-
-    It has 16 bits a row within ``FILTER``, so FILTER / 64 words at most reach the driver. With more rows it passes more, which
-    the join that follows removes.
-    """
-    size = min(FILTER[1], max(FILTER[0], 1 << (16 * rows.count()).bit_length()))
-    words = rows.select(F.pmod(F.xxhash64("doc_id", "mark"), F.lit(size)).alias("spot")).groupBy(F.expr("spot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(spot % 64 as int)))").alias("bits"))
-    table_ = words.toArrow()
-    out = np.zeros(size // 64, np.int64)
-    out[table_.column("word").to_numpy()] = table_.column("bits").to_numpy()
-    del table_
-    pa.default_memory_pool().release_unused()
-    return out.tobytes()
-
-
-def _among(batches: Iterator[pa.RecordBatch], held: bytes) -> Iterator[pa.RecordBatch]:
-    bits = np.frombuffer(held, np.int64)
-    for batch in batches:
-        spot = batch.column("spot").to_numpy(zero_copy_only=False)
-        yield batch.filter(pa.array((bits[spot >> 6] >> (spot & 63)) & 1 == 1))
-
-
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of ``pairs(a, b)``, those whose full sets have 100 * intersection >= percent * union. Sorted joins; skew is split."""
     left = sets.select(F.col("node").alias("a"), F.col("elements").alias("left"))
@@ -310,9 +285,7 @@ def labelled(docs: DataFrame, words: int, percent: int, rows: int, n_bands: int)
 
     nodes = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
     nodes = written(nodes.join(marks.select("node", "doc_id", "mark"), "node"), "nodes")
-    held = marked_rows(nodes)
-    spotted = texts.where("doc_id is not null").withColumn("spot", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(8 * len(held))))
-    near = spotted.mapInArrow(lambda x: _among(x, held), "doc_id long, text string, mark long, spot long")
+    near = among(texts.where("doc_id is not null"), bitmap(nodes, "doc_id", "mark"), "doc_id", "mark")
     near = near.groupBy("doc_id", "mark").agg(F.first("text").alias("text"))  # repeated rows meet before they are sent
     sets = written(near.join(nodes, ["doc_id", "mark"]).select("node", "text").mapInArrow(lambda x: _sets(x, words), "node long, elements array<long>"), "sets")
     first = written(confirmed(stars, sets, percent), "confirmed")

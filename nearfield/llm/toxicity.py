@@ -8,7 +8,7 @@ gradient steps use samples: at most ``POSITIVE`` confirmed toxic texts and ``UNL
 parameters. The class prior is the toxic share of the labelled training rows. The weights minimise the corrected risk
 prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)); where the second term is negative, its gradient is walked back.
 
-Plan: one map over the toxic training texts and a partial aggregate of their runs; one map over all training texts that
+Plan: a bitmap of fixed size and a join find the toxic training texts, and a partial aggregate counts their runs; one map over all training texts that
 gives a row a run and partition; one broadcast join fetches the sample. What reaches the driver is bounded by the runs that
 a ``SHARE`` of texts can have and by the sample. Scoring is a map over all texts; no shuffle. Labels choose training rows
 only: label, lang, source and doc_id are no inputs of a score. Defined cases: null text is empty and has the score of the
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import released, table, written
+from nearfield.llm.common import among, bitmap, released, table, written
 
 GRAM = 5
 POSITIVE, UNLABELLED, LIFT, SHARE = 3_000, 9_000, 2.0, 0.004
@@ -171,7 +171,8 @@ def telling(grams_: np.ndarray, p: np.ndarray, u: np.ndarray, positive: int, unl
 
 def chosen_grams(texts: DataFrame, toxic: DataFrame) -> np.ndarray:
     """The telling runs of training ``texts(doc_id, text)`` where ``toxic(doc_id)`` are confirmed; counts over all of them."""
-    own = written(texts.join(toxic, "doc_id").select(F.lit(True).alias("positive"), "text", "doc_id").mapInArrow(_present, "positive boolean, grams array<long>, doc_id long"), "toxicity-positive")
+    near = among(texts, bitmap(toxic, "doc_id"), "doc_id")  # the join that follows sends their texts alone
+    own = written(near.join(toxic, "doc_id").select(F.lit(True).alias("positive"), "text", "doc_id").mapInArrow(_present, "positive boolean, grams array<long>, doc_id long"), "toxicity-positive")
     positive = own.count()
     counts = own.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("p"))
     frequent = counts.where(F.col("p") >= max(3, SHARE * positive)).orderBy("gram").toArrow()  # 1 / SHARE times a text's runs at most
