@@ -58,8 +58,19 @@ def written(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
 def released(*tables: DataFrame) -> None:
     """Delete ``written`` tables that nothing reads any more."""
     for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        removed(df.sparkSession, df._scratch)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder under the shared one."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def forgotten(spark: SparkSession) -> None:
+    """Let the driver see which shuffles nothing refers to any more: executors then delete their files, which otherwise waits for
+    the driver's memory to fill."""
+    spark._jvm.java.lang.System.gc()
 
 
 #: Least and most bits of a bitmap.

@@ -6,7 +6,7 @@ most one row per vocabulary entry, and each block is then coded on its own, in a
 independently; the position of a block is the sum of its shard's and its predecessors' id counts.
 
 Defined cases: a null or empty text holds the end id only; null doc_ids come first; repeated rows are repeated documents
-(ordered by a hash of the text among equal doc_ids, and dealt to several shards if there are many); an empty table gives an empty file; other columns are not read. A document is
+(in the order they are read among equal doc_ids, and dealt to several shards if there are many); an empty table gives an empty file; other columns are not read. A document is
 never split, so a block is larger than ``BLOCK`` only for a longer single document.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from nearfield.llm.chunks import Memory, distinct, slices, spread
-from nearfield.llm.common import partitions, scratch
+from nearfield.llm.common import forgotten, partitions, removed, scratch
 from nearfield.llm.huffman import Code, code_lengths
 
 BLOCK = 1 << 18
@@ -155,11 +155,12 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, limit: int = 16) ->
     _, vocabulary = chunk_ids(tokenizer_path)
     vocabulary = max(vocabulary, end_id + 1)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # Equal rows are told apart by a number, so a doc_id that a third of the rows share is no single shard.
-    order = ["doc_id", "mark", "number"]
-    ordered = ordered.withColumns({"mark": F.xxhash64("text"), "number": F.monotonically_increasing_id()})
-    ordered = ordered.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select("doc_id", "text")
-    ordered.mapInArrow(lambda x: _raw_blocks(x, tokenizer_path, end_id), RAW).write.option("compression", "none").parquet(f"{path}/raw")
+    # Rows of one doc_id are told apart by a number, so a doc_id that a third of the rows share is no single shard.
+    order = ["doc_id", "number"]
+    ordered = ordered.withColumn("number", F.monotonically_increasing_id()).repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    ordered.select("doc_id", "text").mapInArrow(lambda x: _raw_blocks(x, tokenizer_path, end_id), RAW).write.option("compression", "none").parquet(f"{path}/raw")
+    del ordered
+    forgotten(spark)
     raw = spark.read.schema(RAW).parquet(f"{path}/raw")
     counts = np.zeros(vocabulary, np.int64)
     found = raw.select("ids").mapInArrow(lambda x: _histogram(x, vocabulary), "id long, n long")
@@ -168,6 +169,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, limit: int = 16) ->
     lengths = code_lengths(counts, limit).tobytes()
     spark.createDataFrame([(vocabulary, end_id, bytearray(lengths))], "vocabulary long, end_id long, lengths binary").coalesce(1).write.parquet(f"{path}/code")
     raw.mapInArrow(lambda x: _coded(x, lengths, vocabulary), CODED).write.option("compression", "none").parquet(f"{path}/blocks")
+    removed(spark, f"{path}/raw")
     return path
 
 
