@@ -158,7 +158,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, limit: int = 16) ->
     # Rows of one doc_id are told apart by a number, so a doc_id that a third of the rows share is no single shard.
     order = ["doc_id", "number"]
     ordered = ordered.withColumn("number", F.monotonically_increasing_id()).repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
-    ordered.select("doc_id", "text").mapInArrow(lambda x: _raw_blocks(x, tokenizer_path, end_id), RAW).write.option("compression", "none").parquet(f"{path}/raw")
+    ordered.select("doc_id", "text").mapInArrow(lambda x: _raw_blocks(x, tokenizer_path, end_id), RAW).write.option("compression", "zstd").parquet(f"{path}/raw")
     del ordered
     forgotten(spark)
     raw = spark.read.schema(RAW).parquet(f"{path}/raw")
