@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
+#: What one operator keeps in this process for its next tasks.
+_HELD: dict[str, object] = {}
 
 #: Rows and bytes of one Arrow batch: what a task holds outside of the JVM's heap and in Python doesn't grow with the texts.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
@@ -73,6 +77,24 @@ def forgotten(spark: SparkSession) -> None:
     spark._jvm.java.lang.System.gc()
 
 
+def held(name: str, make: Callable[[], object]) -> object:
+    """What ``make`` gives, kept in this worker for its next tasks under ``name``. What was kept under another name goes."""
+    if name not in _HELD:
+        alone()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def alone() -> None:
+    """Forget what another operator keeps in this worker: workers outlive queries and serve all operators in turn."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library keeps what is freed
+            trim(0)
+
+
 #: Least and most bits of a bitmap.
 FILTER = (1 << 20, 1 << 26)
 
@@ -93,16 +115,17 @@ def bitmap(rows: DataFrame, *columns: str) -> bytes:
     return out.tobytes()
 
 
-def among(rows: DataFrame, held: bytes, *columns: str) -> DataFrame:
+def among(rows: DataFrame, marks: bytes, *columns: str) -> DataFrame:
     """The ``rows`` that a ``bitmap`` of the same columns passes; texts of the others are sent nowhere."""
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(held, np.int64)
+        alone()
+        bits = np.frombuffer(marks, np.int64)
         for batch in batches:
             spot = batch.column("__spot").to_numpy(zero_copy_only=False)
             yield batch.filter(pa.array((bits[spot >> 6] >> (spot & 63)) & 1 == 1))
 
-    spotted = rows.withColumn("__spot", F.pmod(F.xxhash64(*columns), F.lit(8 * len(held))))
+    spotted = rows.withColumn("__spot", F.pmod(F.xxhash64(*columns), F.lit(8 * len(marks))))
     return spotted.mapInArrow(kept, spotted.schema).drop("__spot")
 
 

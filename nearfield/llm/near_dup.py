@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import WORD_CLASS, among, bitmap, released, table, written
+from nearfield.llm.common import WORD_CLASS, alone, among, bitmap, released, table, written
 
 ROWS, BANDS, TILE, BLOCK, SALTS, HOT = 8, 56, 1 << 15, 512, 16, 10_000
 SMALL = 1 << 14
@@ -98,6 +98,7 @@ def bands(coordinates: np.ndarray, rows: int) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch], words: int, rows: int, n_bands: int) -> Iterator[pa.RecordBatch]:
+    alone()
     for batch in batches:
         sizes, keys, marks, short = [], [], [], []
         for text in batch.column(1):
@@ -119,6 +120,7 @@ def _signed(batches: Iterator[pa.RecordBatch], words: int, rows: int, n_bands: i
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    alone()
     for batch in batches:
         found = [shingles(x.as_py(), words).view(np.int64) for x in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "elements"])
@@ -126,6 +128,7 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
 
 def _block_links(rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows of block pairs, each pair's rows together: confirmed links that join components, one for each joining."""
+    alone()
     names = ("cluster", "class", "low", "high", "block", "node", "component", "lower", "short")
     held, now = [], None
 

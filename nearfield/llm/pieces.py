@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm.chunks import Memory, distinct, slices, spread
-from nearfield.llm.common import table
+from nearfield.llm.common import held, table
 
 BLANK = "▁"
 #: Segments that one worker remembers for each of two generations, and pairs; what is forgotten is found again.
@@ -156,13 +156,8 @@ class SegmentIds:
             yield from zip(rows, pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), signs), ",").to_pylist(), strict=True)
 
 
-_LOADED: dict[str, SegmentIds] = {}
-
-
 def segment_ids(path: str) -> SegmentIds:
-    if path not in _LOADED:
-        _LOADED[path] = SegmentIds(Pieces(path))
-    return _LOADED[path]
+    return held(f"pieces {path}", lambda: SegmentIds(Pieces(path)))
 
 
 def _digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:

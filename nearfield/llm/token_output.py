@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from nearfield.llm.chunks import Memory, distinct, slices, spread
-from nearfield.llm.common import forgotten, partitions, removed, scratch
+from nearfield.llm.common import forgotten, held, partitions, removed, scratch
 from nearfield.llm.huffman import Code, code_lengths
 
 BLOCK = 1 << 18
@@ -84,18 +84,17 @@ class ChunkIds:
                 yield ids[a:b].tobytes()
 
 
-_LOADED: dict[str, tuple[ChunkIds, int]] = {}
-
-
 def chunk_ids(path: str) -> tuple[ChunkIds, int]:
     """The tokenizer of this worker, loaded once, and its vocabulary size."""
-    if path not in _LOADED:
+
+    def load() -> tuple[ChunkIds, int]:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         size = tokenizer.get_vocab_size(with_added_tokens=True)
-        _LOADED[path] = (ChunkIds(tokenizer, id_type(size)), size)
-    return _LOADED[path]
+        return ChunkIds(tokenizer, id_type(size)), size
+
+    return held(f"tokens {path}", load)
 
 
 def id_type(vocabulary: int) -> str:

@@ -8,7 +8,7 @@ gradient steps use samples: at most ``POSITIVE`` confirmed toxic texts and ``UNL
 parameters. The class prior is the toxic share of the labelled training rows. The weights minimise the corrected risk
 prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)); where the second term is negative, its gradient is walked back.
 
-Plan: a bitmap of fixed size and a join find the toxic training texts, and a partial aggregate counts their runs; one map over all training texts that
+Plan: a bitmap of bounded size and a join find the toxic training texts, which are written, and a partial aggregate counts their runs; one map over all training texts that
 gives a row a run and partition; one broadcast join fetches the sample. What reaches the driver is bounded by the runs that
 a ``SHARE`` of texts can have and by the sample. Scoring is a map over all texts; no shuffle. Labels choose training rows
 only: label, lang, source and doc_id are no inputs of a score. Defined cases: null text is empty and has the score of the
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import among, bitmap, released, table, written
+from nearfield.llm.common import alone, among, bitmap, released, table, written
 
 GRAM = 5
 POSITIVE, UNLABELLED, LIFT, SHARE = 3_000, 9_000, 2.0, 0.004
@@ -52,6 +52,7 @@ class Model:
 
 
 def _present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    alone()
     for batch in batches:
         found = [np.unique(np.concatenate([run for _, run in runs([text.as_py()])])) for text in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64())), batch.column(2)], ["positive", "grams", "doc_id"])
@@ -147,6 +148,7 @@ def parts(texts: pa.Array) -> Iterator[list[str | None]]:
 
 def _counted(batches: Iterator[pa.RecordBatch], chosen: np.ndarray) -> Iterator[pa.RecordBatch]:
     """In how many texts each of the ``chosen`` runs is; -1 stands for the number of texts."""
+    alone()
     places, rows, total = Places(chosen), 0, np.zeros(len(chosen), np.int64)
     for batch in batches:
         for texts in parts(batch.column(0)):
@@ -157,6 +159,7 @@ def _counted(batches: Iterator[pa.RecordBatch], chosen: np.ndarray) -> Iterator[
 
 
 def _sparse(batches: Iterator[pa.RecordBatch], chosen: np.ndarray) -> Iterator[pa.RecordBatch]:
+    alone()
     for batch in batches:
         held = [np.intersect1d(own.values.to_numpy(), chosen, assume_unique=True).tobytes() for own in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary())], ["positive", "grams"])
@@ -172,7 +175,10 @@ def telling(grams_: np.ndarray, p: np.ndarray, u: np.ndarray, positive: int, unl
 def chosen_grams(texts: DataFrame, toxic: DataFrame) -> np.ndarray:
     """The telling runs of training ``texts(doc_id, text)`` where ``toxic(doc_id)`` are confirmed; counts over all of them."""
     near = among(texts, bitmap(toxic, "doc_id"), "doc_id")  # the join that follows sends their texts alone
-    own = written(near.join(toxic, "doc_id").select(F.lit(True).alias("positive"), "text", "doc_id").mapInArrow(_present, "positive boolean, grams array<long>, doc_id long"), "toxicity-positive")
+    # Written between the two maps: in one stage each task would have two workers.
+    near = written(near.join(toxic, "doc_id").select(F.lit(True).alias("positive"), "text", "doc_id"), "toxic-texts")
+    own = written(near.mapInArrow(_present, "positive boolean, grams array<long>, doc_id long"), "toxicity-positive")
+    released(near)
     positive = own.count()
     counts = own.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("p"))
     frequent = counts.where(F.col("p") >= max(3, SHARE * positive)).orderBy("gram").toArrow()  # 1 / SHARE times a text's runs at most
@@ -285,6 +291,7 @@ class Scorer:
 
 
 def _scores(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    alone()
     scorer = Scorer(model)
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer.scores(batch.column(1)), pa.float64())], ["doc_id", "score"])
@@ -300,6 +307,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def _clean(batches: Iterator[pa.RecordBatch], model: Model, threshold: float) -> Iterator[pa.RecordBatch]:
+    alone()
     scorer = Scorer(model)
     for batch in batches:
         yield batch.filter(pa.array(scorer.scores(batch.column("text").cast(pa.string())) < threshold, pa.bool_()))
