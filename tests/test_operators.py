@@ -229,6 +229,34 @@ def test_hull_is_closed(n):
             assert any({v[other, k], v[other, (k + 1) % 3]} == {v[t, e], v[t, (e + 1) % 3]} for k in back)
 
 
+def crowded(places, copies):
+    """Places of a hundredth of a degree in one tile, each with copies."""
+    rng = np.random.default_rng(places)
+    lat, lon = np.radians(45 + rng.integers(0, 600, places) / 100), np.radians(5 + rng.integers(0, 600, places) / 100)
+    p = np.stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)], axis=1)
+    return np.tile(p.astype(np.float32).astype(float), (copies, 1))
+
+
+@pytest.mark.parametrize(("places", "copies"), [(300, 40), (2, 1500), (20, 500)])
+def test_hull_of_many_copies(places, copies):
+    p = crowded(places, copies)
+    v, nb = mesh.hull(p)
+    assert len(v) == 2 * len(p) - 4 and len(np.unique(v)) == len(p)
+    sides = {(int(x), int(y)): t for t, c in enumerate(v) for x, y in zip(c, np.roll(c, -1), strict=True)}
+    assert len(sides) == 3 * len(v) and all(nb[t, e] == sides[int(v[t, (e + 1) % 3]), int(v[t, e])] for t in range(len(v)) for e in range(3))
+    q = mesh.projected(mesh.spread(p)).tolist()
+    for t in range(0, len(v), 7):  # no neighbour lies in a face's circle
+        for other in nb[t]:
+            assert all(mesh.in_circle(*[q[x] for x in v[t]], q[w]) <= 0 for w in v[other])
+
+
+def test_circle_test_has_an_exact_sign():
+    a, b, c = (0.0, 0.0), (1.0, 0.0), (0.0, 1.0)
+    assert mesh.in_circle(a, b, c, (1.0, 1.0)) == 0
+    assert mesh.in_circle(a, b, c, (1.0, 1 - 2.0**-53)) > 0 > mesh.in_circle(a, b, c, (1.0, 1 + 2.0**-52))
+    assert mesh.in_circle(a, c, b, (1.0, 1 - 2.0**-53)) < 0 < mesh.in_circle(a, c, b, (1.0, 1 + 2.0**-52))
+
+
 def test_hull_needs_space():
     with pytest.raises(ValueError, match="four"):
         mesh.hull(np.eye(3))
