@@ -250,6 +250,23 @@ def test_hull_of_many_copies(places, copies):
             assert all(mesh.in_circle(*[q[x] for x in v[t]], q[w]) <= 0 for w in v[other])
 
 
+@pytest.mark.parametrize("turned", [False, True])
+def test_edges_beside_left_out_faces_are_drawn(spark, turned):
+    p = crowded(30, 2)
+    v, nb = mesh.hull(p)
+    if turned:  # the same mesh, its faces numbered from the end
+        v, nb = v[::-1], len(v) - 1 - nb[::-1]
+    data = blob.encode(p, v, nb, [str(k) for k in range(len(p))], np.ones(len(p)))
+    tiles = spark.createDataFrame([("27-37", bytearray(data))], "tile_id string, data binary")
+    triangles, vertices = blob.triangles(tiles), blob.vertices(tiles).select("tile_id", "v", "x", "y", "z")
+    assert [(r.t, r.v, r.n) for r in triangles.orderBy("t").collect()] == [(k, x.tolist(), y.tolist()) for k, (x, y) in enumerate(zip(v, nb, strict=True))]
+    back = mesh.back_faces(triangles, vertices)
+    hidden = {r.t for r in back.collect()}
+    drawn = mesh.drawn(triangles.join(back, ["tile_id", "t"], "left_anti"), vertices).collect()
+    wanted = {(min(x, y), max(x, y)) for t, c in enumerate(v.tolist()) if t not in hidden for x, y in zip(c, c[1:] + c[:1], strict=True)}
+    assert hidden and len(drawn) == len(wanted) and {(r.a, r.b) for r in drawn} == wanted
+
+
 def test_circle_test_has_an_exact_sign():
     a, b, c = (0.0, 0.0), (1.0, 0.0), (0.0, 1.0)
     assert mesh.in_circle(a, b, c, (1.0, 1.0)) == 0
