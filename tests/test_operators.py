@@ -267,6 +267,20 @@ def test_edges_beside_left_out_faces_are_drawn(spark, turned):
     assert hidden and len(drawn) == len(wanted) and {(r.a, r.b) for r in drawn} == wanted
 
 
+def crowded_members(spark, places, copies):
+    rows = [("27-37", k, f"Doc {k}", k % 256, *map(float, x)) for k, x in enumerate(crowded(places, copies))]
+    return spark.createDataFrame(rows, "tile_id string, seq long, title string, weight int, x double, y double, z double")
+
+
+def test_neighbours_of_many_copies(spark):
+    triangles = mesh.triangles(crowded_members(spark, 20, 200))
+    ends = mesh.edges(triangles).select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").count()
+    assert ends.agg(F.count("*"), F.sum("count"), F.min("count") >= 3).head()[:] == (4000, 6 * 4000 - 12, True)
+    around = {r.v: r.neighbours for r in mesh.vertex_neighbours(triangles).collect()}
+    assert {r.v: r["count"] for r in ends.collect()} == {v: len(w) for v, w in around.items()}
+    assert all(v in around[w] for v, near in around.items() for w in near)
+
+
 def test_circle_test_has_an_exact_sign():
     a, b, c = (0.0, 0.0), (1.0, 0.0), (0.0, 1.0)
     assert mesh.in_circle(a, b, c, (1.0, 1.0)) == 0
