@@ -281,6 +281,15 @@ def test_neighbours_of_many_copies(spark):
     assert all(v in around[w] for v, near in around.items() for w in near)
 
 
+def test_blob_of_many_copies(spark):
+    members = crowded_members(spark, 10, 300)
+    row = blob.blobs(members).head()
+    tile = blob.decode(bytes(row.data))
+    assert row.bytes == len(row.data) and tile["titles"] == [f"Doc {k}" for k in range(3000)] and tile["weights"].tolist() == [k % 256 for k in range(3000)]
+    assert (tile["points"] == crowded(10, 300)).all() and len(tile["faces"]) == 2 * 3000 - 4
+    assert all(v in tile["faces"][t] for v, t in enumerate(tile["incident"]))
+
+
 def test_circle_test_has_an_exact_sign():
     a, b, c = (0.0, 0.0), (1.0, 0.0), (0.0, 1.0)
     assert mesh.in_circle(a, b, c, (1.0, 1.0)) == 0
