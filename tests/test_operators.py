@@ -382,6 +382,29 @@ def test_neighbours_equal_all_pairs(spark, tmp_path):
         assert got[pid] == [t for _, t in nearest_by_all_pairs([(t, known[t]) for t in titles], p, 5)]
 
 
+def test_copies_of_places_are_read_once(spark, tmp_path):
+    """Many articles and positions at few places: one position a place is asked, few articles a place are read, results are whole."""
+    spots = [(48.1, 2.1), (48.2, 2.2), (48.9, 2.9), (49.9, 4.9)]
+    held = [(f"t{k:03d}", spots[k % 4]) for k in range(400)]
+    index = store.build(spark.createDataFrame([(k, t, *p, 100 * (k % 9)) for k, (t, p) in enumerate(held)], "seq long, title string, lat double, lon double, len long"), str(tmp_path / "index"))
+    asked = [(48.15, 2.15), (49.95, 4.95)]
+    at = spark.createDataFrame([(k, *asked[k % 2]) for k in range(200)] + [(None, *asked[0]), (7, *asked[1])], "pid long, lat double, lon double")
+    assert knn.pairs(at.limit(2), index, 3).groupBy("pid", "tile_id", "x").count().agg(F.max("count")).head()[0] == 3
+    stands = []
+
+    def found(places):
+        stands.append(sorted((r.pid, r.lat, r.lon) for r in places.collect()))
+        return knn.at_places(places, index, 103)
+
+    got = {}
+    for r in knn.by_place(at, found).orderBy("pid", "rank").collect():
+        got.setdefault(r.pid, []).append(r.title)
+    assert stands == [[(k, *p) for k, p in enumerate(asked)]] and sorted(got) == list(range(200))
+    assert all(got[k] == [t for _, t in nearest_by_all_pairs(held, asked[k % 2], 103)] for k in got)
+    changed = {r.pid: (r.change, r.set_differs) for r in knn.by_place(at, lambda p: positions.result_change(knn.at_places(p, index, 5), knn.at_places(p, index, 5, 1))).collect()}
+    assert changed == {k: (("distances", False) if k % 2 else ("list", True)) for k in range(200)}  # t000 has no weight
+
+
 def test_manifest_shape(spark, tmp_path):
     """No manifest, no JSON or another shape is no index; a title is kept once."""
     import json
