@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from nearfield import cli
 from nearfield.functions import geo, paging, text
 from nearfield.operators import extract, knn, mesh, store, tiling
+from nearfield.plans.catalog import QUERIES
 from nearfield.sources import blob, dump
 from nearfield.streaming import positions
 
@@ -382,6 +383,16 @@ def test_neighbours_equal_all_pairs(spark, tmp_path):
         assert got[pid] == [t for _, t in nearest_by_all_pairs([(t, known[t]) for t in titles], p, 5)]
 
 
+def test_pages_of_one_result_differ_without_a_join(spark, capsys):
+    rows = spark.createDataFrame([(p, r, f"t{p * 7 + r}") for p in (1, 2) for r in range(1, 16 if p == 1 else 8)], "pid long, rank int, title string")
+    old, new = F.col("rank") <= 10, F.col("rank") > 5
+    want = sorted(map(tuple, knn.diff(rows.where(old), rows.where(new)).collect()))
+    assert sorted(map(tuple, knn.page_diff(rows, old, new).collect())) == want and len(want) == 22
+    assert sorted(map(tuple, knn.page_diff(rows, F.col("rank") < 3, F.col("rank") == 5).collect())) == sorted(map(tuple, knn.diff(rows.where("rank < 3"), rows.where("rank = 5")).collect()))
+    QUERIES["result_diff"](spark, "/root/testdata/sf0.001").explain()
+    assert "FullOuter" not in capsys.readouterr().out
+
+
 def test_copies_of_places_are_read_once(spark, tmp_path):
     """Many articles and positions at few places: one position a place is asked, few articles a place are read, results are whole."""
     spots = [(48.1, 2.1), (48.2, 2.2), (48.9, 2.9), (49.9, 4.9)]
