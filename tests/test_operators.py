@@ -273,6 +273,13 @@ def crowded_members(spark, places, copies):
     return spark.createDataFrame(rows, "tile_id string, seq long, title string, weight int, x double, y double, z double")
 
 
+def test_statistics_make_each_hull_once(spark, capsys):
+    found = mesh.stats(mesh.triangles(crowded_members(spark, 2, 1500)))
+    found.explain()
+    assert capsys.readouterr().out.count("FlatMapGroupsIn") == 1
+    assert [tuple(r) for r in found.collect()] == [("27-37", 2 * 3000 - 4, 3 * 3000 - 6, 3000)]
+
+
 def test_neighbours_of_many_copies(spark):
     triangles = mesh.triangles(crowded_members(spark, 20, 200))
     ends = mesh.edges(triangles).select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").count()
