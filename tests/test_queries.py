@@ -33,3 +33,12 @@ def test_flagship_has_rows(spark):
 def test_drawn_edges_are_mesh_edges(spark):
     rows = QUERIES["mesh_edges"](spark, SF)
     assert rows.count() == rows.distinct().count() > 0
+
+
+@pytest.mark.parametrize("name", ["mesh_neighbors"])
+def test_same_rows_with_many_copies_of_places(spark, name, tmp_path):
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT k + 6000 * i AS doc_id, 'en' AS lang, 100 AS n_chars FROM range(100) a(k), range(100) b(i)) TO '{tmp_path}/documents.parquet'")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    mine = QUERIES[name](spark, str(tmp_path))
+    assert sorted(map(tuple, mine.collect())) == sorted(con.sql(f"SELECT {', '.join(mine.columns)} FROM ({SQL[name]})").fetchall())
