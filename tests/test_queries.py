@@ -35,7 +35,7 @@ def test_drawn_edges_are_mesh_edges(spark):
     assert rows.count() == rows.distinct().count() > 0
 
 
-@pytest.mark.parametrize("name", ["mesh_neighbors"])
+@pytest.mark.parametrize("name", ["mesh_neighbors", "tile_blob"])
 def test_same_rows_with_many_copies_of_places(spark, name, tmp_path):
     con = duckdb.connect()
     con.execute(f"COPY (SELECT k + 6000 * i AS doc_id, 'en' AS lang, 100 AS n_chars FROM range(100) a(k), range(100) b(i)) TO '{tmp_path}/documents.parquet'")
